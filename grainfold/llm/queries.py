@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import secret_scan, sharding
+from . import bpe_replay, packing, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ownership_scan": secret_scan.op1_ownership_scan,
+        "op5_swap_packing": packing.op5_swap_packing,
+        "op9_merge_replay": bpe_replay.op9_merge_replay,
         "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
     }
 
