@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, packing, secret_scan, sharding
+from . import bpe_replay, packing, quality_cnn, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ownership_scan": secret_scan.op1_ownership_scan,
+        "op4_byte_cnn": quality_cnn.op4_byte_cnn,
         "op5_swap_packing": packing.op5_swap_packing,
+        "op6_boosted_rules": quality_rules.op6_boosted_rules,
         "op9_merge_replay": bpe_replay.op9_merge_replay,
         "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
     }
