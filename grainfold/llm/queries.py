@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, packing, quality_cnn, quality_rules, secret_scan, sharding
+from . import bpe_replay, packing, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ownership_scan": secret_scan.op1_ownership_scan,
+        "op2_feistel_pseudonyms": pseudonyms.op2_feistel_pseudonyms,
         "op4_byte_cnn": quality_cnn.op4_byte_cnn,
         "op5_swap_packing": packing.op5_swap_packing,
         "op6_boosted_rules": quality_rules.op6_boosted_rules,
