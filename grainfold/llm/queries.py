@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, near_dups, packing, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding
+from . import bpe_replay, near_dups, packing, phrase_parse, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ownership_scan": secret_scan.op1_ownership_scan,
         "op2_feistel_pseudonyms": pseudonyms.op2_feistel_pseudonyms,
+        "op3_prefix_free_parse": phrase_parse.op3_prefix_free_parse,
         "op4_byte_cnn": quality_cnn.op4_byte_cnn,
         "op5_swap_packing": packing.op5_swap_packing,
         "op6_boosted_rules": quality_rules.op6_boosted_rules,
