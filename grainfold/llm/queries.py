@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, near_dups, packing, phrase_parse, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding
+from . import bpe_replay, near_dups, nn_descent, packing, phrase_parse, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_swap_packing": packing.op5_swap_packing,
         "op6_boosted_rules": quality_rules.op6_boosted_rules,
         "op7_bag_min_hash": near_dups.op7_bag_min_hash,
+        "op8_nn_descent": nn_descent.op8_nn_descent,
         "op9_merge_replay": bpe_replay.op9_merge_replay,
         "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
     }
