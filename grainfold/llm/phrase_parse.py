@@ -27,11 +27,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ragged import gather
-from .shared import materialise, parts_for, table, text_or_empty, total_bytes
+from .shared import free_shuffles, materialise, pack_texts, parts_for, table, text_or_empty, total_bytes
 
 #: Bytes of a match, and of the rolling hash.
 MATCH, TRIGGER = 50, 16
@@ -140,8 +141,21 @@ def _share_of(trigger: np.ndarray, shares: int) -> np.ndarray:
     return ((trigger * _B) >> np.uint64(20)).astype(np.int64) % shares
 
 
-def _u64(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint64)
+def _short(trigger: np.ndarray) -> np.ndarray:
+    """32 bits of a trigger hash: enough to find, within a share, those that may repeat."""
+    return trigger.astype(np.uint32)
+
+
+def _joined(blobs, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 3)
+
+
+def _unpacked(blobs, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, blobs)), kind)
 
 
 def _triggers(shares: int):
@@ -170,7 +184,7 @@ def _triggers(shares: int):
             cut = _runs(g * shares + share)
             stop = np.append(cut[1:], len(g))
             yield pa.RecordBatch.from_pydict(
-                {"share": pa.array(share[cut], pa.int64()), "g": pa.array(g[cut], pa.int64()), "triggers": pa.array([trigger[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary())}
+                {"share": pa.array(share[cut], pa.int64()), "g": pa.array(g[cut], pa.int64()), "triggers": pa.array([_short(trigger[a:b]).tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary())}
             )
 
     return run
@@ -178,39 +192,39 @@ def _triggers(shares: int):
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pass 1, by share: for each group of documents its triggers that occur twice or more."""
-    every = np.sort(_u64(pdf["triggers"]))
+    every = np.sort(_joined(pdf["triggers"], np.uint32))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     rows = []
     for g, blobs in pdf.groupby("g")["triggers"]:
-        own = np.unique(_u64(blobs))
+        own = np.unique(_joined(blobs, np.uint32))
         own = own[np.isin(own, twice, assume_unique=True)]
         if len(own):
-            rows.append((g, own.tobytes()))
-    return pd.DataFrame(rows, columns=["g", "triggers"])
+            rows.append((g, pdf["share"].iloc[0], own.tobytes()))
+    return pd.DataFrame(rows, columns=["g", "share", "triggers"])
 
 
 def _sorted_docs(t: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Order, texts and ids of a group's documents: by id and then text, the same in every pass."""
     ids = t.column("doc_id").cast(pa.int64()).fill_null(LAST_ID).to_numpy()
-    texts = t.column("text").cast(pa.binary()).to_pylist()
+    texts = [zstandard.decompress(x) for x in t.column("text").to_pylist()]
     order = np.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
     return order, [texts[i] for i in order], ids[order]
 
 
 def _dictionary(shares: int):
     """Pass 2, by group: its distinct phrases with repeated triggers, by share, with their least document."""
-    shape = pa.schema([("share", pa.int64()), ("g", pa.int64()), *[(c, pa.binary()) for c in ("trigger", "name", "doc", "windows", "data")]])
+    shape = pa.schema([("share", pa.int64()), ("g", pa.int64()), *[(c, pa.binary()) for c in ("trigger", "doc", "windows", "data")]])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or not found.num_rows:
             return shape.empty_table()
         g = docs.column("g")[0].as_py()
-        repeated = np.unique(_u64(found.column("triggers").to_pylist()))
+        repeated = np.sort(np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) | s << 32 for s, b in zip(found.column("share").to_pylist(), found.column("triggers").to_pylist(), strict=True)]))
         _, texts, ids = _sorted_docs(docs)
         raw, ends = _laid(texts)
         trigger, first, length = phrases(raw[:-16], ends)
-        at = np.minimum(np.searchsorted(repeated, trigger), len(repeated) - 1)
-        on = repeated[at] == trigger
+        short = _share_of(trigger, shares) << 32 | _short(trigger)
+        on = repeated[np.minimum(np.searchsorted(repeated, short), len(repeated) - 1)] == short
         trigger, first, length = trigger[on], first[on], length[on]
         name = phrase_key(raw, trigger, first, length)
         doc = ids[np.searchsorted(ends, first, side="right")]
@@ -233,10 +247,9 @@ def _dictionary(shares: int):
             rows["share"].append(int(share[a]))
             rows["g"].append(g)
             rows["trigger"].append(trigger[lead[a:b]].tobytes())
-            rows["name"].append(name[lead[a:b]].tobytes())
-            rows["doc"].append(doc[lead[a:b]].tobytes())
+            rows["doc"].append(_packed(doc[lead[a:b]]))
             rows["windows"].append(windows[a:b].tobytes())
-            rows["data"].append(data[bounds[a] : bounds[b]].tobytes())
+            rows["data"].append(_packed(data[bounds[a] : bounds[b]]))
         return pa.Table.from_pydict(rows, schema=shape)
 
     return run
@@ -250,14 +263,14 @@ def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     documents of the group all windows are repeats.
     """
     pdf = pdf.reset_index(drop=True)
-    trigger, name = _u64(pdf["trigger"]), _u64(pdf["name"])
-    doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
-    windows = np.frombuffer(b"".join(pdf["windows"]), np.uint8)
+    trigger, windows = _joined(pdf["trigger"], np.uint64), _joined(pdf["windows"], np.uint8)
+    doc = _unpacked(pdf["doc"], np.int64)
     later, length = windows >= 128, (windows & 127).astype(np.int64)
-    data = np.frombuffer(b"".join(pdf["data"]) + bytes(16), np.uint8)
+    data = np.frombuffer(b"".join([*map(zstandard.decompress, pdf["data"]), bytes(16)]), np.uint8)
     size = length + MATCH - 1
     start = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(pdf)), pdf["name"].map(len) // 8)
+    row = np.repeat(np.arange(len(pdf)), pdf["windows"].map(len))
+    name = phrase_key(data, trigger, start, length)
     # the parse: the least document of each distinct phrase
     order = np.lexsort((doc, name))
     cut = _runs(name[order])
@@ -331,7 +344,7 @@ def _apply(out_schema: pa.Schema, digest: bool):
         if not docs.num_rows:
             return out_schema.empty_table()
         order, texts, ids = _sorted_docs(docs)
-        names, verdicts = (_u64(found.column(c).to_pylist()) for c in ("names", "verdicts"))
+        names, verdicts = (_joined(found.column(c).to_pylist(), np.uint64) for c in ("names", "verdicts"))
         raw, ends, gone = _removed(texts, ids, names, verdicts)
         out = {c: docs.column(c).take(pa.array(order)) for c in docs.column_names if c in out_schema.names}
         kept, removed, spans = [], [], []
@@ -369,13 +382,15 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False) -> DataFrame:
     groups, shares = parts_for(size, GROUP_BYTES), parts_for(size, SHARE_BYTES)
     docs = docs.drop("g", "was_null", "n_bytes", "n_removed", "n_spans")
     dealt = docs.withColumn("was_null", F.col("text").isNull()).withColumn("text", text_or_empty()).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    texts = dealt.select("g", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = pack_texts(dealt.select("g", F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     sent = dealt.select("g", "text").mapInArrow(_triggers(shares), "share bigint, g bigint, triggers binary")
-    repeated = materialise(sent.groupBy("share").applyInPandas(_repeated, "g bigint, triggers binary"))
+    repeated = materialise(sent.groupBy("share").applyInPandas(_repeated, "g bigint, share bigint, triggers binary"))
+    free_shuffles(docs.sparkSession)
 
-    entries = texts.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_dictionary(shares), "share bigint, g bigint, trigger binary, name binary, doc binary, windows binary, data binary")
+    entries = texts.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_dictionary(shares), "share bigint, g bigint, trigger binary, doc binary, windows binary, data binary")
     verdicts = materialise(entries.groupBy("share").applyInPandas(_order_suffixes, "g bigint, names binary, verdicts binary"))
+    free_shuffles(docs.sparkSession)
 
     counts = "n_bytes bigint, n_removed bigint, n_spans bigint"
     if digest:
@@ -387,7 +402,7 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False) -> DataFrame:
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(shape))
-    return source.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest), shape)
+    return pack_texts(source).groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest), shape)
 
 
 def op3_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
