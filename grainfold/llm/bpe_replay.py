@@ -121,8 +121,10 @@ class MergeReplay:
         key = ids[at] << 20 | ids[at + 1]
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         index: dict[int, list[int]] = {}
+        if not len(key):
+            return index, []
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         for lo, hi in zip(cut, [*cut[1:], len(key)], strict=True):
             r = self.rank(int(key[lo]) >> 20, int(key[lo]) & (1 << 20) - 1)
             if r >= 0:
