@@ -81,18 +81,15 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     size = lengths[item].astype(np.int64)
     home = np.repeat(np.array(open_, np.int64), [len(bins[b]) for b in open_])
     total = int(lengths.sum())
-    alive = len(bins)
     least = -(-total // capacity)
-    for b in open_:
-        if alive <= least:
-            break
-        while _step(b, size, home, fill, capacity):
-            pass
-        if fill[b] == 0:
-            alive -= 1
-        elif fill[b] > 0 and not (fill < capacity).sum() > 1:
-            break
-    closed = [x for n, x in enumerate(bins) if fill[n] == capacity and not (home == n).any()]
+    better = True
+    while better and np.count_nonzero(fill) > least:
+        better = False
+        for b in sorted(open_, key=lambda b: int(fill[b])):
+            while _step(b, size, home, fill, capacity):
+                better = True
+    searched = set(open_)
+    closed = [x for n, x in enumerate(bins) if n not in searched]
     by_home: dict[int, list[int]] = {}
     for i, h in zip(item.tolist(), home.tolist(), strict=True):
         by_home.setdefault(h, []).append(i)
