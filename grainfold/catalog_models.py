@@ -1,2 +1,215 @@
-"""placeholder"""
+"""Queries on iterative models: their results are properties, not rows of SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import catalog_matrix as base
+from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, residuals, select
+from .registry import register
+from .sources import orders
+
 QUERIES: dict = {}
+
+
+def _positive_residuals(spark, sf_dir, n_genes=200):
+    m, c, g = base._load(spark, sf_dir)
+    n = c.count()
+    chosen = select.by_residuals(residuals.residual_variance(m, g, n), qc.gene_summary(m, g, n), n_genes)
+    r = residuals.pearson(m, n, low="zero").select("cell_id", "gene_id", F.col("residual").alias("value"))
+    return r, chosen, c
+
+
+@register(QUERIES)
+def residuals_pca(spark, sf_dir):
+    """Principal components of the positive residuals of the selected genes."""
+    r, chosen, c = _positive_residuals(spark, sf_dir)
+    return factor.principal_components(factor.cell_vectors(r, chosen, c), 20)[0]
+
+
+@register(QUERIES)
+def principal_components(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    chosen = select.by_dispersion(qc.gene_summary(m, g, c.count()), 200)
+    return factor.principal_components(factor.cell_vectors(residuals.log2_normalised(m, c), chosen, c), 20, standardise=True)[0]
+
+
+@register(QUERIES)
+def topic_model(spark, sf_dir):
+    return factor.topics(orders.tokens(spark, sf_dir), 5, vocabulary=500, iterations=5)[0]
+
+
+@register(QUERIES)
+def poisson_factors(spark, sf_dir):
+    m, _, _ = base._load(spark, sf_dir)
+    return factor.poisson_factors(m, 4, iterations=3)[0]
+
+
+@register(QUERIES)
+def batch_corrected(spark, sf_dir):
+    f = orders.factors(spark, sf_dir)
+    return factor.harmonise(f.select("cell_id", "vec"), f.select("cell_id", (F.col("cell_id") % 3).cast("string").alias("batch")), clusters=5, rounds=2)
+
+
+def _graph(spark, sf_dir):
+    e = graph.knn(orders.factors(spark, sf_dir), 15).select("src", "dst", F.lit(1.0).alias("weight"))
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+@register(QUERIES)
+def communities(spark, sf_dir):
+    return cluster.communities(_graph(spark, sf_dir))
+
+
+@register(QUERIES)
+def polished_clusters(spark, sf_dir):
+    near = graph.knn(orders.factors(spark, sf_dir), 15)
+    e = near.select("src", "dst", F.lit(1.0).alias("weight"))
+    labels = cluster.communities(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    return cluster.polish(labels, near, 20)
+
+
+@register(QUERIES, """+ m AS (SELECT cluster_id, MEDIAN(age) AS ma, MEDIAN(doublet_score) AS md FROM cells GROUP BY 1), d AS (SELECT cluster_id, MEDIAN(ABS(age - ma)) AS da, MEDIAN(ABS(doublet_score - md)) AS dd FROM cells JOIN m USING (cluster_id) GROUP BY 1)
+SELECT cell_id, COALESCE(0.6745::DOUBLE * ABS(age - ma) / NULLIF(da, 0), 0) > 1.2 OR COALESCE(0.6745::DOUBLE * ABS(doublet_score - md) / NULLIF(dd, 0), 0) > 1.2 AS outlier FROM cells JOIN m USING (cluster_id) JOIN d USING (cluster_id)""")
+def outliers(spark, sf_dir):
+    c = orders.cells(spark, sf_dir).select("cell_id", "cluster_id", "age", "doublet_score")
+    return cluster.iglewicz_hoaglin(c, ["age", "doublet_score"], 1.2, "cluster_id").select("cell_id", "outlier")
+
+
+def _tree(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    groups = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean", "nnz", "count"])
+    n = c.count()
+    chosen = select.by_residuals(residuals.residual_variance(m, g, n), qc.gene_summary(m, g, n), 200)
+    return groups, *cluster.dendrogram(groups, chosen), c
+
+
+@register(QUERIES)
+def dendrogram(spark, sf_dir):
+    _, _, linkage, _ = _tree(spark, sf_dir)
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(linkage)], "step int, left int, right int, dist double, size int")
+
+
+@register(QUERIES)
+def cut_dendrogram(spark, sf_dir):
+    _, ids, linkage, c = _tree(spark, sf_dir)
+    sizes = {r.cluster_id: r["count"] for r in c.groupBy("cluster_id").count().collect()}
+    of = cluster.subtrees(sizes, ids, linkage, 4, min_cells=max(1, c.count() // 20))
+    codes = spark.createDataFrame(list(of.items()), "cluster_id long, subtree long")
+    return c.join(F.broadcast(codes), "cluster_id").select("cell_id", "subtree")
+
+
+@register(QUERIES)
+def multilevel_enrichment(spark, sf_dir):
+    groups, ids, linkage, _ = _tree(spark, sf_dir)
+    levels = []
+    for k in (3, len(ids)):
+        codes = spark.createDataFrame(list(zip(ids, cluster.cut(linkage, k), strict=True)), "group_id long, new long")
+        d = groups.join(F.broadcast(codes), "group_id").groupBy("new", "gene_id").agg((F.sum(F.col("mean") * F.col("count")) / F.sum("count")).alias("mean"), F.sum("nnz").alias("nnz"), F.sum("count").alias("count"))
+        levels.append(enrich.enrichment(d.withColumnRenamed("new", "group_id")).select("group_id", "gene_id", F.round("enrichment", 6).alias("enrichment")))
+    return spark.createDataFrame(select.by_multilevel_enrichment(levels, [5, 2]), "level int, group_id long, gene_id long")
+
+
+@register(QUERIES)
+def cluster_validation(spark, sf_dir):
+    return cluster.validate(orders.factors(spark, sf_dir))
+
+
+@register(QUERIES)
+def bisection(spark, sf_dir):
+    r, chosen, _ = _positive_residuals(spark, sf_dir)
+    return cluster.bisect(r.join(chosen.select("gene_id"), "gene_id", "left_semi").where("value > 0"), rounds=4)
+
+
+def _karyotype(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    n = c.count()
+    keep = qc.housekeeping(residuals.residual_variance(m, g, n).join(qc.gene_summary(m, g, n), "gene_id"), n, 1e9, 0.0).select("gene_id")
+    groups = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean"]).join(keep, "gene_id", "left_semi")
+    reference = spark.range(5).select(F.col("id").alias("group_id"))
+    return cluster.karyotype(groups, g, reference), g
+
+
+@register(QUERIES, f"""+ {base.GROUPS}, t AS (SELECT group_id, SUM(mean) AS t FROM grid GROUP BY 1), md AS (SELECT MEDIAN(t) AS m FROM t),
+x AS (SELECT group_id, gene_id, chromosome, start, CASE WHEN t = 0 THEN 0 ELSE mean * m / t END AS x FROM grid JOIN t USING (group_id) CROSS JOIN md JOIN genes USING (gene_id)),
+i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id, chromosome ORDER BY start) AS i, COUNT(*) OVER (PARTITION BY group_id, chromosome) AS n, AVG(x) OVER (PARTITION BY group_id, chromosome ORDER BY start ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS f FROM x),
+y AS (SELECT group_id, gene_id, CASE WHEN i <= n - 19 THEN f ELSE MAX(CASE WHEN i = GREATEST(1, n - 19) THEN f END) OVER (PARTITION BY group_id, chromosome) END AS y FROM i),
+r AS (SELECT gene_id, AVG(y) AS r FROM y WHERE group_id < 5 GROUP BY 1), p AS (SELECT group_id, gene_id, 2 * COALESCE(y / NULLIF(r, 0), 0) * COALESCE(AVG(r) OVER (PARTITION BY group_id) / NULLIF(AVG(y) OVER (PARTITION BY group_id), 0), 0) AS ploidy FROM y JOIN r USING (gene_id))
+SELECT group_id, gene_id, ROUND(ploidy, 4) AS ploidy FROM p""")
+def karyotype(spark, sf_dir):
+    return _karyotype(spark, sf_dir)[0].select("group_id", "gene_id", F.round("ploidy", 4).alias("ploidy"))
+
+
+@register(QUERIES)
+def copy_numbers(spark, sf_dir):
+    k, g = _karyotype(spark, sf_dir)
+    return cluster.viterbi(k.join(g.select("gene_id", "start"), "gene_id").select("group_id", "gene_id", "start", "ploidy"), ["group_id"], "start", "ploidy")
+
+
+@register(QUERIES)
+def doublet_finder(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    return doublets.doublet_scores(m, c, g, components=10, n_genes=200)
+
+
+@register(QUERIES)
+def cell_hashes(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    return doublets.cell_hashes(m, c, g)
+
+
+@register(QUERIES)
+def embedding(spark, sf_dir):
+    return doublets.embed(orders.factors(spark, sf_dir).select("cell_id", "vec"), sample=300, iterations=100)
+
+
+@register(QUERIES)
+def poisson_glm_factors(spark, sf_dir):
+    from .operators import glmpca
+
+    m, c, g = base._load(spark, sf_dir)
+    chosen = select.by_dispersion(qc.gene_summary(m, g, c.count()), 100)
+    return glmpca.poisson_glm_factors(m, 3, rounds=3, genes=chosen)[0]
+
+
+@register(QUERIES)
+def uniform_scaling(spark, sf_dir):
+    from .operators import special
+
+    m, c, _ = base._load(spark, sf_dir)
+    return special.uniform_scaling(m, c.count(), rounds=4)[1]
+
+
+@register(QUERIES)
+def expressed_above(spark, sf_dir):
+    from .operators import special
+
+    m, c, g = base._load(spark, sf_dir)
+    groups = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean", "count"])
+    total = qc.cell_summary(m, c, g).select("cell_id", "total_umis").join(base._clusters(c), "cell_id")
+    mid = F.broadcast(total.agg(F.median("total_umis").alias("m")))
+    sizes = total.crossJoin(mid).groupBy("group_id").agg(F.sum(F.col("total_umis") / F.col("m")).alias("size"))
+    return special.expressed_above(groups, sizes)
+
+
+PAIRS = "ct2 AS (SELECT label, LIST(s ORDER BY j) AS p FROM (SELECT label, j, ROUND(SUM(ABS(vec[j])) * 10) AS s FROM v CROSS JOIN RANGE(1, 65) r(j) GROUP BY 1, 2) GROUP BY label), x AS (SELECT a.label AS a, b.label AS b, UNNEST(a.p) AS p, UNNEST(b.p) AS q FROM ct2 a JOIN ct2 b ON a.label < b.label)"
+
+
+@register(QUERIES, f"WITH v AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS vec, label::BIGINT AS label FROM embeddings), {PAIRS}, t AS (SELECT a, b, SUM(p) AS tp, SUM(q) AS tq FROM x GROUP BY 1, 2), s AS (SELECT x.a, x.b, SUM(POW(ABS((SQRT(p * 5000 / tp) + 0.8 * SQRT(p * 5000 / tp + 1)) / 1.8 - (SQRT(q * 5000 / tq) + 0.8 * SQRT(q * 5000 / tq + 1)) / 1.8), 10)) AS mk, SUM(LGAMMA(2 + p + q) - LGAMMA(2 + p) - LGAMMA(2 + q) + LGAMMA(2.0::DOUBLE) - 2 * LN(3 + 3 * tq / tp + 1) + 2 * LN(4 * (3 * tq / tp + 1))) + MAX(tp * LN(tq / tp) + (tp + tq) * LN(3 / (3 + 3 * tq / tp + 1)) - tp * LN((3 * tq / tp) / (3 * tq / tp + 1)) - tq * LN(3.0::DOUBLE / 4)) AS px FROM x JOIN t ON x.a = t.a AND x.b = t.b GROUP BY 1, 2) SELECT a, b, ROUND(POW(mk, 0.1), 6) AS stabilised, ROUND(px, 4) AS proximity FROM s", prefix="")
+def count_distances(spark, sf_dir):
+    from .operators import special
+
+    f = orders.factors(spark, sf_dir).select("label", F.posexplode("vec").alias("j", "x")).groupBy("label", "j").agg(F.round(F.sum(F.abs("x")) * 10).alias("s"))
+    p = f.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("p"))
+    d = p.withColumnRenamed("label", "a").join(p.withColumnsRenamed({"label": "b", "p": "q"}), F.col("a") < F.col("b"))
+    return d.select("a", "b", F.round(special.stabilised_minkowski(F.col("p"), F.col("q")), 6).alias("stabilised"), F.round(special.poisson_proximity(2.0, 3.0)("p", "q"), 4).alias("proximity"))
+
+
+@register(QUERIES)
+def multinomial_distances(spark, sf_dir):
+    from .operators import special
+
+    f = orders.factors(spark, sf_dir).select("label", F.posexplode("vec").alias("j", "x")).groupBy("label", "j").agg(F.round(F.sum(F.abs("x"))).alias("s"))
+    p = f.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("p"))
+    d = p.withColumnRenamed("label", "a").join(p.withColumnsRenamed({"label": "b", "p": "q"}), F.col("a") < F.col("b"))
+    return d.select("a", "b", special.multinomial_distance("p", "q").alias("distance"), special.multinomial_subspace_distance("p", "q").alias("subspace"))

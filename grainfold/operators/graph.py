@@ -24,9 +24,9 @@ def knn(factors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     n = factors.count()
     blocks = max(1, -(-n // block))
     d = factors.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).alias("block"))
-    every = F.array(*[F.lit(b) for b in range(blocks)]) if blocks <= 64 else F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = d.select("cell_id", "vec", F.col("block").alias("b1"), F.explode(every).cast("bigint").alias("b2"))
-    right = d.select("cell_id", "vec", F.explode(every).cast("bigint").alias("b1"), F.col("block").alias("b2"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    left = d.select("cell_id", "vec", F.col("block").alias("b1"), F.explode(every).alias("b2"))
+    right = d.select("cell_id", "vec", F.explode(every).alias("b1"), F.col("block").alias("b2"))
 
     def pairs(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
