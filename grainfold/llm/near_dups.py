@@ -10,9 +10,9 @@ the least of their weights, so agreement of components estimates the weighted
 Jaccard similarity without bias. Processes are followed only while they can
 still lower the largest value of their text's signature.
 
-Texts that agree on a band meet in its bucket. A bucket is a star around its
-least text; the multiset overlap of each pair is verified. What a star leaves
-apart is compared with the rest of the bucket in later rounds.
+Texts that agree on a band meet in its bucket. A bucket is a star around one
+text; the multiset overlap of each pair is verified. What a star leaves
+apart meets again in finer buckets.
 """
 
 from __future__ import annotations
@@ -20,21 +20,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .quality_rules import _mix, word_hashes, words_of
 from .ragged import spans_of
-from .shared import materialise, table
+from .shared import free_shuffles, materialise, pack_texts, table, text_or_empty
 
 WORDS = 5
 #: Similarity of a link: overlap / union of the multisets, as a fraction.
 LINK = (4, 5)
 BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
-#: Least agreeing components of a pair that later rounds verify: 4 standard deviations below the link.
-LEAST_AGREEING = int(COMPONENTS * (0.8 - 4 * 0.05))
+#: Texts apart in a bucket up to which they are compared directly.
+FEW_APART = 32
 STAR_ROUNDS = 3
 SLICE_BYTES = 3 << 20
 
@@ -111,15 +113,8 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     return out
 
 
-def _multiset(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """doc and a hash for each member of the multisets: the first, second, ... copy of a shingle differ."""
-    of = np.repeat(doc, weight)
-    copy = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
-    return of, _mix(np.repeat(h, weight) + copy.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, n (of shingles), bands array<bigint>, sig array<int> of every row; k1 and k2 name the multiset."""
+    """doc_id, k1, k2, n (of shingles), bands array<bigint> of every row; k1 and k2 name the multiset."""
 
     def run(batches):
         for batch in batches:
@@ -142,38 +137,52 @@ def signatures(docs: DataFrame) -> DataFrame:
                         "k2": pa.array(keys[1].view(np.int64)),
                         "n": pa.array(n),
                         "bands": pa.array(list(acc.view(np.int64)), pa.list_(pa.int64())),
-                        "sig": pa.array(list(sig.view(np.int32)), pa.list_(pa.int32())),
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, n bigint, bands array<bigint>, sig array<int>")
-
-
-def multisets(docs: DataFrame) -> DataFrame:
-    """doc_id and its multiset of shingles as distinct hashes."""
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
-    def run(batches):
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1).fill_null("")
-            for s in spans_of(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1, SLICE_BYTES):
-                part = texts.slice(s.start, s.stop - s.start).cast(pa.binary()).to_pylist()
-                of, members = _multiset(*shingles(part))
-                n = np.bincount(of, minlength=len(part))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_pydict({"doc_id": names.slice(s.start, s.stop - s.start), "members": pa.ListArray.from_arrays(offsets, pa.array(members.view(np.int64)))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, members array<bigint>")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs(a, b) of representatives with their verdict `link`, by the overlap of their whole multisets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # the rows of one id are linked anyway; the least of its texts stands for it
-    sets = materialise(multisets(docs.join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", (both * LINK[1] >= (F.size("x") + F.size("y") - both) * LINK[0]).alias("link"))
+def _members(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's multiset ends, and its members as distinct hashes: the first, second, ... copy of a shingle differ."""
+    doc, h, weight = shingles(texts)
+    of = np.repeat(doc, weight)
+    copy = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.cumsum(np.bincount(of, minlength=len(texts))), _mix(np.repeat(h, weight) + copy.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def _compare(batches):
+    """For pairs (a, b) of texts: whether they are linked, the size of a, the overlap, and in order the members that a has and b lacks."""
+    for batch in batches:
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for s in spans_of(np.fromiter(map(len, x), np.int64, len(x)) + np.fromiter(map(len, y), np.int64, len(y)), SLICE_BYTES // 4):
+            # a text that stands in many pairs is read once
+            place: dict[bytes, int] = {}
+            at_x, at_y = ([place.setdefault(t, len(place)) for t in part[s]] for part in (x, y))
+            end, members = _members([zstandard.decompress(t) for t in place])
+            sets = [np.sort(members[a:b]) for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+            link, size, overlap, extra = [], [], [], []
+            for i, j in zip(at_x, at_y, strict=True):
+                p, q = sets[i], sets[j]
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = 0
+                more = p[q[at] != p]
+                both = len(p) - len(more)
+                link.append(both * LINK[1] >= (len(p) + len(q) - both) * LINK[0])
+                size.append(len(p))
+                overlap.append(both)
+                extra.append(more.view(np.int64))
+            n = s.stop - s.start
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0).slice(s.start, n), "b": batch.column(1).slice(s.start, n), "link": pa.array(link, pa.bool_()), "n_a": pa.array(size, pa.int32()), "both": pa.array(overlap, pa.int32()), "extra": pa.array(extra, pa.list_(pa.int64()))})
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b) of representatives with `link`, by the overlap of their whole multisets, and what _compare tells."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_compare, f"a {kind}, b {kind}, link boolean, n_a int, both int, extra array<bigint>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,7 +192,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the least doc_id with the same shingles. Rows that share an id are one class.
     Texts without words, null ones too, are alone. A null doc_id has a null class.
     An empty table gives no rows.
+
+    A bucket is compared with one text c only, the one that meets most others.
+    That loses no link. If x is not linked to c but to y, their overlap is at
+    least 4/9 of their sizes together, and of it the members of c are no more
+    than x shares with c; so they share a number of members that c lacks, which
+    follows from the sizes of x, c and the shortest text of the bucket. One of
+    the first of those members of x, in one order for all (rare ones first), then
+    is among the first of y. Texts that agree on such a member meet in its bucket: where few
+    are apart from c they are compared with the others; where many are, the
+    bucket is a star again; what the last round has left is compared in full.
+    Where sizes allow a y that shares nothing outside c, y is short, and x is
+    compared with the texts of such sizes.
     """
+    spark = docs.sparkSession
     own = materialise(signatures(docs))
     sound = own.where("n > 0 and doc_id is not null")
     keys = ["k1", "k2"]
@@ -191,47 +213,68 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = materialise(sound.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
     rows = own.join(reps, keys, "left").select("doc_id", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), "n")
     rows = materialise(rows.withColumn("rep", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id"))))
-    same_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
-    shared = rows.join(same_id.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-
-    unique = materialise(sound.join(reps, keys).where("doc_id = rep").select("rep", "bands", "sig").dropDuplicates(["rep"]))
-    banded = unique.select("rep", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    met = materialise(banded.join(buckets, "bucket").select("bucket", "rep", "centre", "n"))
-    first = met.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    judged = materialise(_verified(materialise(first), docs))
-    links = judged.where("link").select("a", "b")
-
-    # members of buckets of three or more that are not linked to their centre
-    wide = met.where("n > 2")
-    centred = wide.withColumnsRenamed({"rep": "a", "centre": "b"})
-    apart = materialise(centred.where("a <> b").join(judged.where("not link"), ["a", "b"], "left_semi").select("bucket", F.col("a").alias("rep")))
-    sigs = unique.select("rep", "sig")
+    again = materialise(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("n_rows")).where("n_rows > 1"))
+    shared = rows.join(again.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+
+    unique = sound.join(reps, keys).where("doc_id = rep").select("rep", "n", "bands").dropDuplicates(["rep"])
+    banded = unique.select(F.explode("bands").alias("bucket"), "rep", "n")
+    crowd = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    met = materialise(banded.join(crowd, "bucket"))
+    # how many a text meets over all its buckets: greatest in the middle of a group
+    meets = materialise(met.groupBy("rep").agg(F.sum("c").alias("meets"), F.first("n").alias("n")))
+    met = met.join(meets.drop("n"), "rep").select("bucket", "rep", "meets")
+    needed = met.select(F.col("rep").alias("doc_id")).distinct()
+    texts = pack_texts(docs.select("doc_id", text_or_empty().alias("text"))).hint("merge").join(needed, "doc_id", "left_semi")
+    if again.limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])
+    texts = materialise(texts)
+    free_shuffles(spark)
+    judged = None
     for turn in range(STAR_ROUNDS + 1):
-        if not apart.limit(1).count():
-            break
-        if turn < STAR_ROUNDS:
-            new = apart.groupBy("bucket").agg(F.min("rep").alias("b"))
-        else:  # all that is left, against all members
-            new = apart.select("bucket", F.col("rep").alias("b"))
-        pairs = wide.select("bucket", F.col("rep").alias("a")).join(new, "bucket").where("a <> b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        x, y = sigs.withColumnsRenamed({"rep": "a", "sig": "x"}), sigs.withColumnsRenamed({"rep": "b", "sig": "y"})
-        agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, v: t + v)
-        pairs = materialise(pairs.join(x, "a").join(y, "b").where(agree >= LEAST_AGREEING).select("a", "b"))
-        fresh = _verified(pairs, docs)
-        judged = materialise(judged.unionByName(fresh))
-        links = judged.where("link").select("a", "b")
+        pairs = materialise(_centred(met).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
+        known = fresh = materialise(_verified(pairs if judged is None else pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), texts))
+        if judged is not None:
+            known = fresh.unionByName(judged.join(pairs, ["a", "b"], "left_semi"))
+        judged = fresh if judged is None else judged.unionByName(fresh)
+        free_shuffles(spark)
+        split = known.groupBy("b").agg(F.count("*").alias("c"), F.bool_and("link").alias("all"), F.min("n_a").alias("shortest")).where("c > 1 and not all")
+        need = F.ceil(LINK[0] * (F.col("n_a") + F.col("shortest")) / F.lit(float(LINK[0] + LINK[1]))) - F.col("both")
+        known = materialise(known.join(split.select("b", "shortest"), "b").withColumn("need", F.when(F.col("link"), 0).otherwise(need).cast("int")))
+        # members that b lacks and two or more texts have, one of them apart from b; the rarest first
+        each = known.select("a", "b", "link", "need", F.size("extra").alias("k"), F.explode("extra").alias("e"))
+        often = each.groupBy("b", "e").agg(F.count("*").alias("c"), F.count_if(~F.col("link")).alias("apart")).where("c > 1 and apart > 0")
+        each = each.join(often.select("b", "e", "c"), ["b", "e"])
+        own = Window.partitionBy("a", "b")
+        each = each.withColumn("place", F.row_number().over(own.orderBy("c", "e")) + F.col("k") - F.count("*").over(own))
+        looked = each.where(F.col("link") | (F.col("place") <= F.col("k") - F.greatest("need", F.lit(1)) + 1))
+        looked = materialise(looked.select(F.xxhash64("b", "e").alias("bucket"), F.col("a").alias("rep"), "link"))
+        crowd = looked.groupBy("bucket").agg(F.count("*").alias("c"), F.count_if(~F.col("link")).alias("apart")).where("c > 1 and apart > 0")
+        alive = materialise(looked.join(crowd, "bucket").select("bucket", "rep", "link", "apart"))
+        few = alive.where(F.col("apart") <= FEW_APART) if turn < STAR_ROUNDS else alive
+        direct = few.where("not link").select("bucket", F.col("rep").alias("a")).join(few.select("bucket", F.col("rep").alias("b")), "bucket").where("a <> b").select("a", "b")
+        # shorter texts than any that would have to share a member outside the centre
+        near = known.where("need <= 0 and not link").select("b", "a", ((LINK[0] + LINK[1]) * F.col("both") / F.lit(float(LINK[0])) - F.col("n_a")).alias("most"))
+        short = near.join(known.select("b", F.col("a").alias("y"), "n_a"), "b").where((F.col("n_a") <= F.col("most")) & (F.col("a") != F.col("y"))).select("a", F.col("y").alias("b"))
+        direct = direct.union(short).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for one, two in (("a", "b"), ("b", "a")):
+            direct = direct.join(judged.select(F.col(one).alias("a"), F.col(two).alias("b")), ["a", "b"], "left_anti")
+        judged = judged.unionByName(materialise(_verified(direct, texts)))
+        free_shuffles(spark)
         if turn == STAR_ROUNDS:
             break
-        tied = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = apart.join(new, "bucket").where("rep <> b")
-        apart = materialise(near.join(tied.withColumnRenamed("a", "rep"), ["rep", "b"], "left_anti").select("bucket", "rep"))
-
-    labels = components(links.union(shared))
+        met = materialise(alive.where(F.col("apart") > FEW_APART).join(meets, "rep").select("bucket", "rep", "meets"))
+        if not met.limit(1).count():
+            break
+    labels = components(judged.where("link").select("a", "b").union(shared))
     return rows.join(labels, rows["rep"] == labels["id"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.col("n").alias("n_shingles"))
 
 
+def _centred(members: DataFrame) -> DataFrame:
+    """bucket, rep, centre: the others of each bucket with the text that meets most others, the least id of several."""
+    centre = members.groupBy("bucket").agg(F.min(F.struct((-F.col("meets")).alias("m"), "rep")).alias("c")).select("bucket", F.col("c.rep").alias("centre"))
+    return members.join(centre, "bucket").where("rep <> centre").select("bucket", "rep", "centre")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each class the document with the least id stays, once.
 
@@ -240,7 +283,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = materialise(near_duplicates(docs))
     count = found.where("doc_id = class_id").groupBy("doc_id").count()
     single, repeated = count.where("count = 1").select("doc_id"), count.where("count > 1").select("doc_id")
-    out = docs.join(single, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    # the ids of most documents: a side that grows with the input is never broadcast
+    out = docs.join(single.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if repeated.limit(1).count():
         out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out
