@@ -48,7 +48,7 @@ class MergeReplay:
         key = a << 20 | b
         r = self.pairs.get(key)
         if r is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return r
