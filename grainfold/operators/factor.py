@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,20 @@ from ..plans.storage import persist
 
 
 def cell_vectors(values: DataFrame, selected: DataFrame, cells: DataFrame, column: str = "value") -> DataFrame:
-    """(cell_id, vector): a sparse vector of the selected genes for every cell. selected: (gene_id, rank), rank from 1."""
+    """(cell_id, vector): the selected genes of every cell as a vector. selected: (gene_id, rank), rank from 1."""
     size = selected.count()
-    per = values.join(F.broadcast(selected), "gene_id").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct((F.col("rank") - 1).alias("i"), F.col(column).cast("double").alias("v")))).alias("e"))
-    build = F.udf(lambda e: Vectors.sparse(size, [(x["i"], x["v"]) for x in e or []]), VectorUDT())
-    return cells.select("cell_id").join(per, "cell_id", "left").select("cell_id", build("e").alias("vector"))
+    per = values.join(F.broadcast(selected), "gene_id").groupBy("cell_id").agg(F.collect_list(F.struct((F.col("rank") - 1).cast("int").alias("i"), F.col(column).cast("double").alias("v"))).alias("e"))
+    every = cells.select("cell_id").join(per, "cell_id", "left").select("cell_id", F.transform("e", lambda x: x["i"]).alias("i"), F.transform("e", lambda x: x["v"]).alias("v"))
+
+    @F.pandas_udf("array<double>")
+    def dense(i: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.zeros((len(i), size))
+        for row, (a, b) in enumerate(zip(i, v, strict=True)):
+            if a is not None:
+                out[row, np.asarray(a, int)] = b
+        return pd.Series(list(out))
+
+    return every.select("cell_id", array_to_vector(dense("i", "v")).alias("vector"))
 
 
 def principal_components(vectors: DataFrame, k: int, standardise: bool = False) -> tuple[DataFrame, list[float]]:
@@ -156,8 +165,6 @@ def harmonise(factors: DataFrame, batches: DataFrame, *, clusters: int = 10, rou
                         on = b == i
                         for k in range(clusters):
                             rows.append((int(i), k, float(r[on, k].sum()), (r[on, k] @ vec[on]).tolist(), (r[on, k] @ x[on]).tolist()))
-                    import pandas as pd
-
                     yield pd.DataFrame(rows, columns=["b", "k", "w", "s", "u"])
 
         dim = len(d.first()["vec"])
