@@ -27,24 +27,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that an earlier document has go from the texts; n_chars follows."""
-    return _as(docs, phrase_parse.remove_repeats(docs))
+    return _as(docs, phrase_parse.remove_repeats(docs, counts=False))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms; n_chars follows."""
-    return _as(docs, pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY))
+    return _as(docs, pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY, report="_pseudonyms"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences, with their token ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=100_000)
 
 
 def _as(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The columns of docs, with the length of the changed text where they have one."""
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns)
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("repeated passages", repeats), ("personal data", pii), ("packing", pack)]

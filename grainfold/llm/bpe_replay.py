@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .ragged import RaggedTable, gather, spans_of
-from .shared import table
+from .shared import map_arrow, table
 
 #: Bytes of text that a task splits at a time, and strings it remembers.
 BATCH_BYTES = 2 << 20
@@ -229,7 +229,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc
                 yield pa.RecordBatch.from_pydict(out)
 
     columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, {columns}")
+    return map_arrow(docs.select(id_col, text_col), run, f"doc_id {key}, {columns}")
 
 
 def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

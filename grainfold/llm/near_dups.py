@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .components import components
 from .quality_rules import _mix, word_hashes, words_of
 from .ragged import spans_of
-from .shared import free_shuffles, materialise, pack_texts, table, text_or_empty
+from .shared import free_shuffles, map_arrow, materialise, pack_texts, table, text_or_empty
 
 WORDS = 5
 #: Similarity of a link: overlap / union of the multisets, as a fraction.
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, n bigint, bands array<bigint>")
 
 
 def _members(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     both = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_compare, f"a {kind}, b {kind}, link boolean, n_a int, both int, extra array<bigint>")
+    return map_arrow(both, _compare, f"a {kind}, b {kind}, link boolean, n_a int, both int, extra array<bigint>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

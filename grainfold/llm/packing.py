@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ragged import RaggedTable, spans_of
-from .shared import materialise, parts_for, table
+from .shared import map_arrow, materialise, parts_for, table
 
 CAPACITY = 2048
 #: Pieces of a group, bins of a group that stay open for the next level, groups that meet there.
@@ -218,6 +218,11 @@ class WordTokens:
         running, end = np.concatenate([[0], np.cumsum(each)]), np.cumsum(n)
         self.chunks.add(ids, running[end] - running[end - n])
 
+    def forget(self, most: int = REMEMBERED) -> None:
+        for t in (self.chunks, self.words):
+            t.most = most
+            t.clear()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. White space never is part of a token, so texts split there first."""
         if len(self.chunks) > self.chunks.most:
@@ -250,23 +255,26 @@ _BEYOND_LATIN = re.compile("[^\x00-ÿ]")
 
 @cache
 def word_tokens(path: str) -> WordTokens:
-    """One for each Python worker; it lasts over tasks and keeps what it learned."""
+    """One for each Python worker; tasks forget the words when they end, so an idle worker holds little."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordTokens(path)
 
 
-def cut_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if wanted, ids.
 
     Null texts count as empty: one piece that holds the end id. Repeated rows
     have pieces of their own. Only documents over the capacity are cut.
+    remembered bounds the words that a task keeps: fewer take less memory and
+    more time.
     """
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         enc = word_tokens(path)
+        enc.forget(remembered)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).fill_null("")
             for s in spans_of(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1, BATCH_BYTES):
@@ -286,9 +294,10 @@ def cut_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                 if keep_ids:
                     out["ids"] = pa.array(kept, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
+        enc.forget()
 
     columns = "piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, {columns}")
+    return map_arrow(docs.select(id_col, text_col), run, f"doc_id {key}, {columns}")
 
 
 def pack_documents(docs: DataFrame, path: str, *, keep_ids: bool = True, **names) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ragged import gather
-from .shared import free_shuffles, materialise, pack_texts, parts_for, table, text_or_empty, total_bytes
+from .shared import free_shuffles, give_back, map_arrow, materialise, pack_texts, parts_for, table, text_or_empty, total_bytes
 
 #: Bytes of a match, and of the rolling hash.
 MATCH, TRIGGER = 50, 16
@@ -44,6 +44,8 @@ GROUP_BYTES, SHARE_BYTES = 12 << 20, 8 << 20
 CHUNK = 2 << 20
 #: Null ids come after all others.
 LAST_ID = (1 << 63) - 1
+#: Columns of the way, of names that tables do not have.
+GROUP, WAS_NULL = "_group of documents", "_text was null"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -216,9 +218,10 @@ def _dictionary(shares: int):
     shape = pa.schema([("share", pa.int64()), ("g", pa.int64()), *[(c, pa.binary()) for c in ("trigger", "doc", "windows", "data")]])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()  # what the group before has left
         if not docs.num_rows or not found.num_rows:
             return shape.empty_table()
-        g = docs.column("g")[0].as_py()
+        g = docs.column(GROUP)[0].as_py()
         repeated = np.sort(np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) | s << 32 for s, b in zip(found.column("share").to_pylist(), found.column("triggers").to_pylist(), strict=True)]))
         _, texts, ids = _sorted_docs(docs)
         raw, ends = _laid(texts)
@@ -262,6 +265,7 @@ def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     in a document before the group's first one with the phrase. In later
     documents of the group all windows are repeats.
     """
+    give_back()
     pdf = pdf.reset_index(drop=True)
     trigger, windows = _joined(pdf["trigger"], np.uint64), _joined(pdf["windows"], np.uint8)
     doc = _unpacked(pdf["doc"], np.int64)
@@ -337,10 +341,11 @@ def _removed(texts: list[bytes], ids: np.ndarray, names: np.ndarray, verdicts: n
     return raw, ends, np.cumsum(change)[: len(raw)] > 0
 
 
-def _apply(out_schema: pa.Schema, digest: bool):
+def _apply(out_schema: pa.Schema, digest: bool, counts: bool):
     """Pass 3, by group: take the repeated bytes out of its documents."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()  # what the group before has left
         if not docs.num_rows:
             return out_schema.empty_table()
         order, texts, ids = _sorted_docs(docs)
@@ -355,18 +360,19 @@ def _apply(out_schema: pa.Schema, digest: bool):
             removed.append(n)
             spans.append(int((off[1:] & ~off[:-1]).sum() + off[0]) if n else 0)
             kept.append(raw[a:e][~off].tobytes() if n else text)
-        out |= {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
+        made = {"n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
+        out |= {c: v for c, v in made.items() if counts}
         if digest:
             out["kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
         else:
-            nulls = docs.column("was_null").take(pa.array(order)).to_pylist()
+            nulls = docs.column(WAS_NULL).take(pa.array(order)).to_pylist()
             out["text"] = pa.array([None if x else k.decode("utf-8", "ignore") for k, x in zip(kept, nulls, strict=True)], pa.string())
         return pa.table({c: out[c] for c in out_schema.names}).cast(out_schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True) -> DataFrame:
     """Every document without the bytes of MATCH-byte strings that also start in a document of smaller doc_id.
 
     Returns the columns of docs with the text that is left (bytes that no longer
@@ -374,35 +380,36 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False) -> DataFrame:
     doc_id, the counts and the hash of the bytes left. Null texts stay null and
     count as empty, null ids come after all others, and rows of one id do not
     take from each other. An empty table gives no rows. Columns of docs with the
-    names of the counts, g or was_null give way.
+    names of the counts give way to them, unless counts=False leaves the counts out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     size = total_bytes(docs)
     groups, shares = parts_for(size, GROUP_BYTES), parts_for(size, SHARE_BYTES)
-    docs = docs.drop("g", "was_null", "n_bytes", "n_removed", "n_spans")
-    dealt = docs.withColumn("was_null", F.col("text").isNull()).withColumn("text", text_or_empty()).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    texts = pack_texts(dealt.select("g", F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    counted = ["n_bytes", "n_removed", "n_spans"] if counts else []
+    docs = docs.drop(*counted)
+    dealt = docs.withColumn(WAS_NULL, F.col("text").isNull()).withColumn("text", text_or_empty()).withColumn(GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    texts = pack_texts(dealt.select(GROUP, F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
-    sent = dealt.select("g", "text").mapInArrow(_triggers(shares), "share bigint, g bigint, triggers binary")
+    sent = map_arrow(dealt.select(GROUP, "text"), _triggers(shares), "share bigint, g bigint, triggers binary")
     repeated = materialise(sent.groupBy("share").applyInPandas(_repeated, "g bigint, share bigint, triggers binary"))
     free_shuffles(docs.sparkSession)
 
-    entries = texts.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_dictionary(shares), "share bigint, g bigint, trigger binary, doc binary, windows binary, data binary")
+    entries = texts.groupBy(GROUP).cogroup(repeated.groupBy("g")).applyInArrow(_dictionary(shares), "share bigint, g bigint, trigger binary, doc binary, windows binary, data binary")
     verdicts = materialise(entries.groupBy("share").applyInPandas(_order_suffixes, "g bigint, names binary, verdicts binary"))
     free_shuffles(docs.sparkSession)
 
-    counts = "n_bytes bigint, n_removed bigint, n_spans bigint"
+    numbers = "n_bytes bigint, n_removed bigint, n_spans bigint"
     if digest:
-        source, kind = dealt.select("g", "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
-        shape = f"doc_id {kind}, {counts}, kept_sha256 string"
+        source, kind = dealt.select(GROUP, "doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
+        shape = f"doc_id {kind}, {numbers}, kept_sha256 string"
     else:
         source = dealt
-        shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], counts])
+        shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *([numbers] if counts else [])])
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(shape))
-    return pack_texts(source).groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest), shape)
+    return pack_texts(source).groupBy(GROUP).cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest, counts), shape)
 
 
 def op3_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

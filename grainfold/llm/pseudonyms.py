@@ -184,22 +184,22 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
-    """docs with text_col rewritten and a column pii: array<struct<kind, value>> of what was replaced.
+def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", report: str = "pii") -> DataFrame:
+    """docs with text_col rewritten and a column `report`: array<struct<kind, value>> of what was replaced.
 
-    A null text stays null; its pii is empty. Candidates that fail validation stay
-    as they are. Values found twice in a text are replaced twice. Columns of docs
-    named pii give way to the new one.
+    A null text stays null; its report is empty. Candidates that fail validation stay
+    as they are. Values found twice in a text are replaced twice. A column of
+    docs with the name of the report gives way to it.
     """
     pii = "array<struct<kind:string,value:string>>"
     text = text_or_empty(text_col)
     found = F.when(text.rlike(ANY), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))).otherwise(F.array().cast(pii))
-    marked = docs.drop("pii").withColumn("pii", found)
-    some = F.exists("pii", lambda x: x["kind"].isNotNull())
-    new = F.transform("pii", lambda x: F.when(x["kind"].isNull(), x["value"]).otherwise(pseudonym(x["value"], x["kind"], key)))
+    marked = docs.drop(report).withColumn(report, found)
+    some = F.exists(F.col(f"`{report}`"), lambda x: x["kind"].isNotNull())
+    new = F.transform(F.col(f"`{report}`"), lambda x: F.when(x["kind"].isNull(), x["value"]).otherwise(pseudonym(x["value"], x["kind"], key)))
     mended = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda piece, x: F.array(piece, F.coalesce(x, F.lit(""))))), "")
     out = marked.withColumn(text_col, F.when(some, mended).otherwise(F.col(text_col)))
-    return out.withColumn("pii", F.filter("pii", lambda x: x["kind"].isNotNull()))
+    return out.withColumn(report, F.filter(F.col(f"`{report}`"), lambda x: x["kind"].isNotNull()))
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample_ids
 from .ragged import spans_of
-from .shared import table
+from .shared import map_arrow, table
 
 #: Labelled documents that the model is fitted on, at most, and bytes of each that training looks at.
 SAMPLE = 4_000
@@ -185,9 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "view": pa.array([view(t) for t in texts], pa.binary())})
 
     rows = (
-        docs.join(some, "doc_id", "left_semi")
-        .select("doc_id", "text")
-        .mapInArrow(views, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, view binary")
+        map_arrow(docs.join(some, "doc_id", "left_semi").select("doc_id", "text"), views, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, view binary")
         .join(some, "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "view")
         .limit(sample)
@@ -206,7 +204,7 @@ def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: st
                 part = texts.slice(s.start, s.stop - s.start).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_pydict({"doc_id": names.slice(s.start, s.stop - s.start), "score": pa.array(probability(net, pooled(net, part)))})
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return map_arrow(docs.select(id_col, text_col), run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

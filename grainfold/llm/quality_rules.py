@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .labelled import sample_ids
 from .ragged import spans_of
-from .shared import table
+from .shared import map_arrow, table
 
 SAMPLE = 8_000
 THRESHOLD = 0.3
@@ -265,7 +265,7 @@ def _measure(docs: DataFrame, id_col: str, text_col: str, model: Trees | None, e
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema += [f"`x_{c}` {types[c]}" for c in extra]
-    return docs.select(id_col, text_col, *[c for c in extra if c not in (id_col, text_col)]).mapInArrow(run, ", ".join(schema))
+    return map_arrow(docs.select(id_col, text_col, *[c for c in extra if c not in (id_col, text_col)]), run, ", ".join(schema))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Trees:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -68,6 +69,33 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch at most: whole texts make batches of megabytes.
+BATCH_ROWS = 2_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle Python worker shares its executor's limit with the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows (a setting of the session); tasks give their memory back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def pack_texts(docs: DataFrame) -> DataFrame:
     """docs with the text as compressed UTF-8: shuffled at two fifths of their size."""
     names = docs.columns
@@ -79,4 +107,4 @@ def pack_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=names)
 
     kinds = ["binary" if f.name == "text" else f.dataType.simpleString() for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return map_arrow(docs, run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
