@@ -160,7 +160,7 @@ def cell_hashes(spark, sf_dir):
 
 @register(QUERIES)
 def embedding(spark, sf_dir):
-    return doublets.embed(orders.factors(spark, sf_dir).select("cell_id", "vec"), sample=300, iterations=100)
+    return doublets.embed(orders.factors(spark, sf_dir).select("cell_id", "vec"))
 
 
 @register(QUERIES)

@@ -296,3 +296,19 @@ def test_uniform_scaling_nears_its_target(spark, random_counts):
     for r in got.collect():
         if r.k < 36:
             assert r.got == pytest.approx(-math.log(1 - r.k / 40), rel=0.3)
+
+
+def test_embedding_optimises_every_cell(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((200, 8)) + np.repeat(r.standard_normal((4, 8)) * 6, 50, axis=0)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    got = np.array([(row.x, row.y) for row in doublets.embed(d, sample=40, iterations=120, perplexity=10).orderBy("cell_id").collect()])
+    assert got.shape == (200, 2) and len(np.unique(got.round(6), axis=0)) == 200
+
+    def nearest(v):
+        dist = ((v[:, None] - v[None]) ** 2).sum(2)
+        np.fill_diagonal(dist, np.inf)
+        return np.argsort(dist, axis=1)[:, :10]
+
+    kept = [len(set(a) & set(b)) / 10 for a, b in zip(nearest(x), nearest(got), strict=True)]
+    assert np.mean(kept) > 0.4 and (np.repeat(np.arange(4), 50)[nearest(got)[:, 0]] == np.repeat(np.arange(4), 50)).mean() > 0.95
