@@ -36,19 +36,19 @@ def principal_components(spark, sf_dir):
 
 @register(QUERIES)
 def topic_model(spark, sf_dir):
-    return factor.topics(orders.tokens(spark, sf_dir), 5, vocabulary=500, iterations=5)[0]
+    return factor.topics(orders.tokens(spark, sf_dir), 5)[0]
 
 
 @register(QUERIES)
 def poisson_factors(spark, sf_dir):
     m, _, _ = base._load(spark, sf_dir)
-    return factor.poisson_factors(m, 4, iterations=3)[0]
+    return factor.poisson_factors(m, 4)[0]
 
 
 @register(QUERIES)
 def batch_corrected(spark, sf_dir):
     f = orders.factors(spark, sf_dir)
-    return factor.harmonise(f.select("cell_id", "vec"), f.select("cell_id", (F.col("cell_id") % 3).cast("string").alias("batch")), clusters=5, rounds=2)
+    return factor.harmonise(f.select("cell_id", "vec"), f.select("cell_id", (F.col("cell_id") % 3).cast("string").alias("batch")))
 
 
 def _graph(spark, sf_dir):
@@ -118,7 +118,7 @@ def cluster_validation(spark, sf_dir):
 @register(QUERIES)
 def bisection(spark, sf_dir):
     r, chosen, _ = _positive_residuals(spark, sf_dir)
-    return cluster.bisect(r.join(chosen.select("gene_id"), "gene_id", "left_semi").where("value > 0"), rounds=4)
+    return cluster.bisect(r.join(chosen.select("gene_id"), "gene_id", "left_semi").where("value > 0"))
 
 
 def _karyotype(spark, sf_dir):
@@ -169,7 +169,7 @@ def poisson_glm_factors(spark, sf_dir):
 
     m, c, g = base._load(spark, sf_dir)
     chosen = select.by_dispersion(qc.gene_summary(m, g, c.count()), 100)
-    return glmpca.poisson_glm_factors(m, 3, rounds=3, genes=chosen)[0]
+    return glmpca.poisson_glm_factors(m, 3, genes=chosen)[0]
 
 
 @register(QUERIES)
@@ -177,7 +177,7 @@ def uniform_scaling(spark, sf_dir):
     from .operators import special
 
     m, c, _ = base._load(spark, sf_dir)
-    return special.uniform_scaling(m, c.count(), rounds=4)[1]
+    return special.uniform_scaling(m, c.count())[1]
 
 
 @register(QUERIES)

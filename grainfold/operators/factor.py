@@ -85,12 +85,14 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
 
 
-def poisson_factors(matrix: DataFrame, k: int, *, iterations: int = 10, a: float = 0.3, b: float = 1.0, c: float = 0.3, d: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def poisson_factors(matrix: DataFrame, k: int, *, iterations: int = 100, tolerance: float = 1e-3, a: float = 0.3, b: float = 1.0, c: float = 0.3, d: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Hierarchical Poisson factorisation by coordinate ascent over the non-zeros: (cell_id, theta), (gene_id, beta).
 
     Each half step joins the non-zeros with the current expectations of both
     sides and sums the responsibilities by one of them; the other side's total
-    rate is one small row. State is a table of k numbers an item.
+    rate is one small row. State is a table of k numbers an item. Every tenth
+    round, from the tenth on, the log likelihood of the non-zeros is taken; it ends
+    when that changes by less than the share `tolerance`, or after `iterations`.
     """
     cells = matrix.select("cell_id").distinct()
     genes = matrix.select("gene_id").distinct()
@@ -120,9 +122,20 @@ def poisson_factors(matrix: DataFrame, k: int, *, iterations: int = 10, a: float
 
         return persist(got.mapInPandas(update, f"{key} long, mean array<double>, log array<double>"))
 
-    for _ in range(iterations):
+    def likelihood() -> float:
+        x = matrix.join(theta.select("cell_id", F.col("mean").alias("m1")), "cell_id").join(beta.select("gene_id", F.col("mean").alias("m2")), "gene_id")
+        rate = F.aggregate(F.zip_with("m1", "m2", lambda p, q: p * q), F.lit(1e-300), lambda t, v: t + v)
+        return x.agg(F.sum(F.col("n") * F.ln(rate) - rate)).first()[0] or 0.0
+
+    last = None
+    for turn in range(iterations):
         theta = half(theta, beta, "cell_id", "gene_id", a, b)
         beta = half(beta, theta, "gene_id", "cell_id", c, d)
+        if turn % 10 == 9:
+            now = likelihood()
+            if last is not None and abs(now - last) <= tolerance * abs(last):
+                break
+            last = now
     return theta.select("cell_id", F.col("mean").alias("theta")), beta.select("gene_id", F.col("mean").alias("beta"))
 
 

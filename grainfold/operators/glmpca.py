@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..plans.storage import persist
 
 
-def poisson_glm_factors(matrix: DataFrame, k: int, *, rounds: int = 10, penalty: float = 1.0, genes: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray, list[float]]:
+def poisson_glm_factors(matrix: DataFrame, k: int, *, rounds: int = 200, tolerance: float = 1e-4, penalty: float = 1.0, genes: DataFrame | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray, list[float]]:
     """(cell_id, factors), the genes' (offset, loadings) and the deviance after each round.
 
     genes limits the model to a selection, whose loadings (a few thousand rows of
     k + 1 numbers) go to every task. A round is one pass over the cells: each
     task takes a Fisher step for its cells and adds up gradient and curvature of
     the loadings, dense over the selected genes; their sums give the loadings' step.
+    Ends when a round changes the deviance by less than the share `tolerance`, after `rounds` at most.
     """
     m = matrix.join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi") if genes is not None else matrix
     ids = [r.gene_id for r in m.select("gene_id").distinct().orderBy("gene_id").collect()]
@@ -62,6 +63,8 @@ def poisson_glm_factors(matrix: DataFrame, k: int, *, rounds: int = 10, penalty:
         offset = offset + np.clip(grad[:, 0] / np.maximum(curve[:, 0], 1e-9), -1, 1)
         load = load + np.clip((grad[:, 1:] - penalty * load) / (curve[:, 1:] + penalty), -0.5, 0.5)
         cells = persist(cells.drop("f").join(out.where("gene < 0").select("cell_id", "f"), "cell_id"))
+        if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance * abs(history[-2]):
+            break
     # orthogonal factors in the order of their loadings' size
     _, s, rot = np.linalg.svd(load, full_matrices=False)
     turned = cells.select("cell_id", F.array(*[sum((F.element_at("f", i + 1) * float(rot[j, i]) for i in range(k)), F.lit(0.0)) for j in range(k)]).alias("factors"))

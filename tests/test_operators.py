@@ -312,3 +312,22 @@ def test_embedding_optimises_every_cell(spark):
 
     kept = [len(set(a) & set(b)) / 10 for a, b in zip(nearest(x), nearest(got), strict=True)]
     assert np.mean(kept) > 0.4 and (np.repeat(np.arange(4), 50)[nearest(got)[:, 0]] == np.repeat(np.arange(4), 50)).mean() > 0.95
+
+
+def test_models_are_registered_whole(spark, monkeypatch, sf_dir):
+    from grainfold import catalog_models
+    from grainfold.operators import glmpca, special
+
+    seen = {}
+    for part, name in ((factor, "topics"), (factor, "poisson_factors"), (factor, "harmonise"), (cluster, "bisect"), (glmpca, "poisson_glm_factors"), (special, "uniform_scaling")):
+        monkeypatch.setattr(part, name, lambda *a, _n=name, **k: seen.setdefault(_n, k) and None or (None, None))
+    for q in ("topic_model", "poisson_factors", "batch_corrected", "bisection", "poisson_glm_factors", "uniform_scaling"):
+        getattr(catalog_models, q)(spark, sf_dir)
+    assert len(seen) == 6 and not {k for kw in seen.values() for k in kw} & {"iterations", "rounds", "vocabulary", "clusters"}
+
+
+def test_glm_factors_stop_on_a_tolerance(spark, random_counts):
+    from grainfold.operators import glmpca
+
+    _, _, history = glmpca.poisson_glm_factors(sparse(spark, random_counts), 1, tolerance=0.02)
+    assert 1 < len(history) < 200 and abs(history[-1] - history[-2]) <= 0.02 * abs(history[-2])
