@@ -22,9 +22,9 @@ from .labelled import held_out, sample_ids
 from .ragged import spans_of
 from .shared import map_arrow, table
 
-#: Labelled documents that the model is fitted on, at most, and bytes of each that training looks at.
+#: Labelled documents that the model is fitted on, at most, and bytes of their texts together; texts are never cut.
 SAMPLE = 4_000
-VIEW_WINDOWS, VIEW_BYTES = 16, 512
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 SLICE_BYTES = 512 << 10
 
@@ -158,7 +158,10 @@ def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 6, batch: int = 32
             rows = order[i : i + batch]
             step += 1
             now = rate * min(1, 2 * (1 - step / (steps + 1)))
-            for p, g, m, v in zip(net.params(), _gradients(net, [texts[j] for j in rows], y[rows]), mean, square, strict=True):
+            # long texts: a few at a time, the gradient is their weighted mean
+            parts = [rows[k.start : k.stop] for k in spans_of(np.array([len(texts[j]) + 1 for j in rows]), SLICE_BYTES)]
+            grads = [[g * (len(part) / len(rows)) for g in _gradients(net, [texts[j] for j in part], y[part])] for part in parts]
+            for p, g, m, v in zip(net.params(), [sum(g) for g in zip(*grads, strict=True)], mean, square, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -167,31 +170,22 @@ def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 6, batch: int = 32
     return net
 
 
-def view(text: bytes) -> bytes:
-    """What training sees of a document: all of it, or windows spread evenly over a long one."""
-    if len(text) <= VIEW_WINDOWS * VIEW_BYTES:
-        return text
-    at = np.linspace(0, len(text) - VIEW_BYTES, VIEW_WINDOWS).astype(int)
-    return b"".join(text[a : a + VIEW_BYTES] for a in at)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
-    """A network from at most `sample` labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network from the whole texts of at most `sample` labelled documents outside the held-out fold; fewer, if they pass most_bytes."""
     some = F.broadcast(sample_ids(labels, sample))
 
-    def views(batches):
+    def whole(batches):
         for b in batches:
-            texts = b.column(1).fill_null("").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "view": pa.array([view(t) for t in texts], pa.binary())})
-
-    rows = (
-        map_arrow(docs.join(some, "doc_id", "left_semi").select("doc_id", "text"), views, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, view binary")
-        .join(some, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "view")
-        .limit(sample)
-        .collect()
-    )
-    return train([bytes(r["view"]) for r in rows], np.array([r["label"] for r in rows], np.float32))
+            texts = b.column(1).fill_null("").cast(pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": texts, "size": pc.binary_length(texts).cast(pa.int64())})
+
+    rows = map_arrow(docs.join(some, "doc_id", "left_semi").select("doc_id", "text"), whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, size long").join(some, "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("size"), F.sha2("text", 256)]
+    # sizes first: the driver takes no text before it knows how many of them fit
+    sizes = np.array([r["size"] for r in rows.orderBy(*order).limit(sample).select("size").collect()], np.int64)
+    fits = int((np.cumsum(sizes) <= most_bytes).sum())
+    rows = rows.orderBy(*order).limit(fits).collect()
+    return train([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,3 +144,16 @@ def test_cnn_cases(spark):
     assert quality_cnn.score(cases.frame(spark, []), net).count() == 0
     none = quality_cnn.fit(docs, labels.where("false"))
     assert all(abs(r.score - 0.5) < 1e-6 for r in quality_cnn.score(docs, none).collect())
+
+
+def test_cnn_trains_on_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, y: seen.append((texts, y)))
+    texts = [f"{i} " + "long text " * 3_000 + "end" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    quality_cnn.fit(docs, labels)
+    quality_cnn.fit(docs, labels, most_bytes=70_000)
+    got, fewer = seen[0][0], seen[1][0]
+    assert got and all(t.decode() in texts for t in got)
+    assert fewer == got[:2] and len(seen[1][1]) == 2
