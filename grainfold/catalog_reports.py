@@ -53,7 +53,7 @@ def report_age(spark, sf_dir):
     return reports.age_histogram(orders.cells(spark, sf_dir)).select("row", "col", _r("share"))
 
 
-@register(QUERIES, f"+ {base.CELL_STATS}, h AS (SELECT GREATEST(0, LEAST(19, FLOOR(1000 * COALESCE(cell_cycle_fraction, 0) / 50)))::BIGINT AS row, cluster_id AS col, COUNT(*) AS n FROM cell_stats JOIN cells USING (cell_id) GROUP BY 1, 2), {SHARES}")
+@register(QUERIES, f"+ {base.CELL_STATS}, h AS (SELECT GREATEST(0, LEAST(19, FLOOR(1000 * COALESCE(cell_cycle_fraction, 0))))::BIGINT AS row, cluster_id AS col, COUNT(*) AS n FROM cell_stats JOIN cells USING (cell_id) GROUP BY 1, 2), {SHARES}")
 def report_cell_cycle(spark, sf_dir):
     return reports.cycle_histogram(_cells(spark, sf_dir)).select("row", "col", _r("share"))
 

@@ -43,7 +43,7 @@ def age_histogram(cells: DataFrame, n_bins: int = 15) -> DataFrame:
 
 
 def cycle_histogram(cells: DataFrame) -> DataFrame:
-    step = F.greatest(F.lit(0), F.least(F.lit(19), F.floor(1000 * F.coalesce("cell_cycle_fraction", F.lit(0.0)) / 50)))
+    step = F.greatest(F.lit(0), F.least(F.lit(19), F.floor(1000 * F.coalesce("cell_cycle_fraction", F.lit(0.0)))))
     return share_of_column_max(cells.groupBy(step.cast("bigint").alias("row"), F.col("cluster_id").alias("col")).agg(F.count("*").alias("n")))
 
 

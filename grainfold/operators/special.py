@@ -10,15 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(a: np.ndarray) -> np.ndarray:
+    """Log gamma of an array. A plain function: functions that use it are pickled by value."""
+    a = np.asarray(a, float)
+    return np.fromiter(map(math.lgamma, a.ravel().tolist()), float, a.size).reshape(a.shape)
 
 
 def _pairs(f):
-    """A pandas UDF over two array columns from a function of two vectors; null for a null."""
+    """A pandas UDF over two array columns from a function of two matrices, row by row vectors; null for a null.
+
+    Rows are stacked by the length of their vectors, so f sees whole matrices.
+    """
 
     @pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else float(f(np.asarray(a, float), np.asarray(b, float))) for a, b in zip(x, y, strict=True)])
+        out = np.full(len(x), np.nan)
+        sound = [a is not None and b is not None for a, b in zip(x, y, strict=True)]
+        length = np.array([len(a) if ok else -1 for a, ok in zip(x, sound, strict=True)])
+        for n in np.unique(length[length >= 0]):
+            at = np.flatnonzero(length == n)
+            p, q = (np.array([s.iloc[i] for i in at], float).reshape(len(at), n) for s in (x, y))
+            out[at] = f(p, q)
+        return pd.Series(out).where(pd.Series(sound), None)
 
     return run
 
@@ -34,13 +48,13 @@ def stabilised_minkowski(x: Column, y: Column, n: float = 5000.0, p: float = 10.
     return F.pow(F.aggregate(gap, F.lit(0.0), lambda t, v: t + v), F.lit(1 / p))
 
 
-def _multinomial(p: np.ndarray, q: np.ndarray) -> float:
-    """1 - 1 / (1 + evidence ratio) of one against two multinomials under flat priors."""
-    n = len(p)
-    s, t = p.sum(), q.sum()
-    x = math.lgamma(n) + math.lgamma(s + t + n) - math.lgamma(s + n) - math.lgamma(t + n)
-    x += (_lgamma(p + 1) + _lgamma(q + 1) - _lgamma(p + q + 1)).sum()
-    return 1.0 if x > 700 else 1 - 1 / (1 + math.exp(x))
+def _multinomial(p: np.ndarray, q: np.ndarray, some: bool = False) -> np.ndarray:
+    """1 - 1 / (1 + evidence ratio) of one against two multinomials under flat priors; with some, over the components that either row has."""
+    n = ((p > 0) | (q > 0)).sum(1) if some else np.full(len(p), p.shape[1])
+    s, t = p.sum(1), q.sum(1)
+    x = _lgamma(np.maximum(n, 1)) + _lgamma(s + t + n) - _lgamma(np.maximum(s + n, 1)) - _lgamma(np.maximum(t + n, 1))
+    x += (_lgamma(p + 1) + _lgamma(q + 1) - _lgamma(p + q + 1)).sum(1)
+    return 1 - 1 / (1 + np.exp(np.minimum(x, 700)))
 
 
 def multinomial_distance(x: Column | str, y: Column | str) -> Column:
@@ -49,17 +63,17 @@ def multinomial_distance(x: Column | str, y: Column | str) -> Column:
 
 def multinomial_subspace_distance(x: Column | str, y: Column | str) -> Column:
     """The same over the components that either vector has."""
-    return _pairs(lambda p, q: _multinomial(p[(p > 0) | (q > 0)], q[(p > 0) | (q > 0)]))(x, y)
+    return _pairs(lambda p, q: _multinomial(p, q, some=True))(x, y)
 
 
 def poisson_proximity(a: float, b: float):
     """UDF of two count vectors: the log evidence that one gamma prior of shape a and rate b gave rates common to both."""
 
-    def f(x: np.ndarray, y: np.ndarray) -> float:
-        n, s, t = len(x), x.sum(), y.sum()
+    def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, s, t = x.shape[1], x.sum(1), y.sum(1)
         c = t / s
-        joint = _lgamma(a + x + y).sum() + n * math.lgamma(a) - n * a * math.log(b + b * c + 1) + s * math.log(c) + (s + t) * math.log(b / (b + b * c + 1))
-        apart = _lgamma(a + x).sum() + _lgamma(a + y).sum() - n * a * math.log((b + 1) * (b * c + 1)) + s * math.log(b * c / (b * c + 1)) + t * math.log(b / (b + 1))
+        joint = _lgamma(a + x + y).sum(1) + n * math.lgamma(a) - n * a * np.log(b + b * c + 1) + s * np.log(c) + (s + t) * np.log(b / (b + b * c + 1))
+        apart = _lgamma(a + x).sum(1) + _lgamma(a + y).sum(1) - n * a * np.log((b + 1) * (b * c + 1)) + s * np.log(b * c / (b * c + 1)) + t * math.log(b / (b + 1))
         return joint - apart
 
     return _pairs(f)

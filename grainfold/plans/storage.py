@@ -12,7 +12,9 @@ def persist(df: DataFrame) -> DataFrame:
     """df written as Parquet under spark.checkpoint.dir and read back: the lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:  # one machine, as in tests
         folder = tempfile.mkdtemp(prefix="grainfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
