@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, a laptop) one temporary folder serves the session.
+    Where it is unset, one temporary folder serves a session on one machine
+    (tests, a laptop); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="grainfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
