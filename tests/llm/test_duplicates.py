@@ -79,6 +79,31 @@ def test_one_large_loose_group(spark):
     check(spark, cases.frame(spark, rows))
 
 
+def test_one_id_with_texts_that_differ(spark):
+    """Each text of a repeated id keeps its own links."""
+    r = random.Random(9)
+    x, y = cases.words(r, 90), cases.words(r, 90)
+    rows = [(1, x, "en", "s", 1), (1, y, "en", "s", 1), (2, x + " end", "en", "s", 1), (3, y + " end", "en", "s", 1), (4, y, "en", "s", 1)]
+    got = {(d.doc_id, d.class_id) for d in near_dups.near_duplicates(cases.frame(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_stars_of_stars(spark, few, monkeypatch):
+    """Groups whose texts are apart from every one centre: chains of edits, decided in rounds of stars."""
+    monkeypatch.setattr(near_dups, "FEW_APART", few)
+    r = random.Random(6)
+    rows = []
+    for g in range(3):
+        t = cases.words(r, 120).split()
+        for i in range(40):
+            if i:
+                t = list(t)
+                t[(7 * i) % 120] = cases.words(r, 1)
+            rows.append((100 * g + i, " ".join(t[: 120 - i % 5]), "en", "src0", 1))
+    check(spark, cases.frame(spark, rows))
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(0)
     for _ in range(3):
