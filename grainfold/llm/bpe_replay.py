@@ -156,7 +156,7 @@ class TextEncoder:
         found, fresh = self.words.index([w for x in split for w in x])
         if fresh:
             self.words.add(*self.replay.encode([w.encode("utf-8", "surrogatepass") for w in fresh]))
-        ids, each = self.words.ids(np.array(found, np.int64))
+        ids, each = self.words.ids(found)
         n = np.fromiter(map(len, split), np.int64, len(split))
         running = np.concatenate([[0], np.cumsum(each)])
         end = np.cumsum(n)
@@ -182,7 +182,7 @@ class TextEncoder:
         found, fresh = self.chunks.index(keys)
         if fresh:
             self._learn(fresh)
-        ids, each = self.chunks.ids(np.array(found, np.int64))
+        ids, each = self.chunks.ids(found)
         running = np.concatenate([[0], np.cumsum(each)])
         end = np.cumsum(count)
         return ids, running[end] - running[end - count]

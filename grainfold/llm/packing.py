@@ -38,6 +38,11 @@ REMEMBERED = 500_000
 #: Marks the end of a document.
 END_ID = 0
 
+#: Words that the tokenizer gets at a time.
+WORD_BATCH = 20_000
+#: Characters of a text that the tokenizer gets whole, about.
+WHOLE_CHARS = 1 << 20
+
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: The words of the tokenizer's own split; the encoding of a text is that of its words in turn.
@@ -193,27 +198,45 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Split
+        from tokenizers.pre_tokenizers import Sequence as InTurn
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True  # their strings in a text are ordinary text
-        # for words that are split and in lower case already
-        self.bare.normalizer, self.bare.pre_tokenizer = Sequence([]), ByteLevel(add_prefix_space=False, use_regex=False)
+        # for words in lower case, one blank apart
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = Sequence([])
+        self.bare.pre_tokenizer = InTurn([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        #: Texts with the string of an added token hold that token.
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.chunks, self.words = RaggedTable(REMEMBERED), RaggedTable(REMEMBERED)
 
-    @staticmethod
-    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text as the tokenizer gives them; long ones in parts, as no token has a blank."""
+        out, at = [], 0
+        while at < len(text):
+            to = text.find(" ", at + WHOLE_CHARS)
+            to = len(text) if to < 0 else to
+            out += self.tokenizer.encode(text[at:to], add_special_tokens=False).ids
+            at = to
+        return np.array(out, np.uint32)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """The last token of every word, and only that, ends a word."""
+        for a in range(0, len(words), WORD_BATCH):
+            part = words[a : a + WORD_BATCH]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            self.words.add(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
 
     def _learn(self, chunks: list[str]) -> None:
         if len(self.words) > self.words.most:
             self.words.clear()
-        split = [_WORD.findall(c) for c in chunks]
+        split = [(c,) if c.isalpha() else _WORD.findall(c) for c in chunks]
         found, fresh = self.words.index([w for x in split for w in x])
-        if fresh:
-            got = self._ids(self.bare, fresh)
-            self.words.add(np.array([i for x in got for i in x], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-        ids, each = self.words.ids(np.array(found, np.int64))
+        self._learn_words(fresh)
+        ids, each = self.words.ids(found)
         n = np.fromiter(map(len, split), np.int64, len(split))
         running, end = np.concatenate([[0], np.cumsum(each)]), np.cumsum(n)
         self.chunks.add(ids, running[end] - running[end - n])
@@ -231,8 +254,8 @@ class WordTokens:
         count = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}
         for i, text in enumerate(texts):
-            if not text.isascii() and not _plain(text) or _NOT_SPACE.search(text):
-                whole[i] = np.array(self._ids(self.tokenizer, [text])[0], np.uint32)
+            if not text.isascii() and not _plain(text) or _NOT_SPACE.search(text) or any(t in text for t in self.added):
+                whole[i] = self._whole(text)
                 continue
             part = text.lower().split()
             keys += part
@@ -240,7 +263,7 @@ class WordTokens:
         found, fresh = self.chunks.index(keys)
         if fresh:
             self._learn(fresh)
-        ids, each = self.chunks.ids(np.array(found, np.int64))
+        ids, each = self.chunks.ids(found)
         running, end = np.concatenate([[0], np.cumsum(each)]), np.cumsum(count)
         return [whole[i] if i in whole else ids[running[e - n] : running[e]] for i, (e, n) in enumerate(zip(end, count, strict=True))]
 

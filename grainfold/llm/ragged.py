@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 
@@ -15,6 +17,14 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[step]
 
 
+class _Numbers(dict):
+    """Keys numbered in the order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class RaggedTable:
     """Numbers the strings it is given and keeps an id array for each of them.
 
@@ -27,7 +37,7 @@ class RaggedTable:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
@@ -36,14 +46,11 @@ class RaggedTable:
     def __len__(self) -> int:
         return self.rows
 
-    def index(self, keys: list[str]) -> tuple[list[int], list[str]]:
+    def index(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
         """Numbers of the keys, and the keys that are new, in the order of their numbers."""
         known = len(self.number)
-        put = self.number.setdefault
-        number = self.number
-        found = [put(k, len(number)) for k in keys]
-        fresh = [] if len(number) == known else list(_last(number, len(number) - known))
-        return found, fresh
+        found = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        return found, list(islice(reversed(self.number), len(self.number) - known))[::-1]
 
     def add(self, flat: np.ndarray, length: np.ndarray) -> None:
         """The id arrays of the new keys, in their order."""
@@ -65,15 +72,6 @@ class RaggedTable:
         return gather(self.flat, self.start[found], length), length
 
 
-def _last(d: dict, n: int) -> list:
-    out = []
-    for k in reversed(d):
-        out.append(k)
-        if len(out) == n:
-            break
-    return out[::-1]
-
-
 def spans_of(sizes: np.ndarray, most: int):
     """Slices of consecutive items whose sizes add up to about `most`."""
     at = 0

@@ -56,10 +56,19 @@ def test_encode_cases(spark):
 @given(st.text(alphabet=st.sampled_from(list("aeinotT sS'\n\t0é.Ñ日 ́ \x1cΣİ<|>")), max_size=60))
 def test_words_equal_tokenizer(text):
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     assert packing.word_tokens(P.path("word_bpe_49k.json")).encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_and_long_texts(monkeypatch):
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    enc = packing.word_tokens(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "WHOLE_CHARS", 40)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b <|ENDOFTEXT|>", "日本 ἀΣ  ´ e\u0301 don't " * 30, "x " * 500 + "ß Ω", "", " "]
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == own.encode(t, add_special_tokens=False).ids
+    assert 49407 in enc.encode(texts)[0].tolist()
+
+
 def check_packing(docs, got, slack):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = Counter()
