@@ -7,17 +7,18 @@ alone says which trigger it has, and equal windows lie in phrases of equal
 trigger wherever they occur. The corpus is a dictionary of distinct phrases and
 a parse, the phrases of each document in turn.
 
-The dictionary is dealt out by trigger. In each share the phrases' suffixes of
-at least L bytes are put into one order, in which equal L-byte prefixes are
-neighbours; the parse gives each phrase its least document. Together they tell,
-for every L-byte string of the corpus, the least document where it starts.
-Phrases whose trigger occurs in one document only cannot hold a repeat and are
-never sent.
+The dictionary is dealt out by trigger. In each share the suffixes of its
+phrases are ordered by their first L bytes: a suffix array to depth L, built by
+prefix doubling on the bytes themselves. Suffixes of one rank are one L-byte
+string; the parse, which gives each phrase its least document, puts the places
+of each rank into corpus order. Together they tell, for every L-byte string of
+the corpus, the least document where it starts. Phrases whose trigger occurs in
+one document only cannot hold a repeat and are never sent.
 
 Three passes: triggers to shares, to find those of two documents or more;
 phrases with such triggers to shares, to order their suffixes; verdicts back to
 the documents. Documents are dealt into groups of bounded size by a hash of
-their id. Within tasks all is flat numpy arrays.
+their id and text. Within tasks all is flat numpy arrays.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ragged import gather
+from .ragged import gather, spans_of
 from .shared import free_shuffles, give_back, map_arrow, materialise, pack_texts, parts_for, table, text_or_empty, total_bytes
 
 #: Bytes of a match, and of the rolling hash.
@@ -39,13 +40,15 @@ MATCH, TRIGGER = 50, 16
 #: Windows of a phrase at most: their verdict fits into 64 bits. Longer runs (periodic text) are cut.
 MOST_WINDOWS = 63
 #: Bytes of text of a group of documents, and of a share of the dictionary.
-GROUP_BYTES, SHARE_BYTES = 12 << 20, 8 << 20
+GROUP_BYTES, SHARE_BYTES = 6 << 20, 6 << 20
+#: Bytes of phrases whose suffixes are ordered at a time.
+DICTIONARY = 1 << 20
 #: Bytes hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Null ids come after all others.
 LAST_ID = (1 << 63) - 1
-#: Columns of the way, of names that tables do not have.
-GROUP, WAS_NULL = "_group of documents", "_text was null"
+#: A column of the way, of a name that tables do not have.
+GROUP = "_group of documents"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -258,6 +261,67 @@ def _dictionary(shares: int):
     return run
 
 
+def _rank(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each key among the distinct ones, and their number."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    step = np.zeros(len(keys), np.uint64)
+    step[1:] = ordered[1:] != ordered[:-1]
+    np.cumsum(step, out=step)
+    rank = np.empty(len(keys), np.uint64)
+    rank[order] = step
+    return rank, int(step[-1]) + 1 if len(keys) else 0
+
+
+def _joint(parts: list[np.ndarray], n: int) -> tuple[np.ndarray, int]:
+    """Ranks of tuples of ranks below n, as many at a time as 64 bits hold."""
+    bits = max(1, (n - 1).bit_length())
+    rank, most = parts[0], n
+    at = 1
+    while at < len(parts):
+        key, room = rank.copy(), 64 - max(1, (most - 1).bit_length())
+        while at < len(parts) and room >= bits:
+            key = key << np.uint64(bits) | parts[at]
+            room -= bits
+            at += 1
+        rank, most = _rank(key)
+    return rank, most
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rank of the MATCH bytes from each position of `at`, in the order of their bytes, by prefix doubling.
+
+    data has 16 bytes of slack. Ranks of 8 bytes give those of 24, and these
+    those of MATCH; where pieces overlap they agree, so order and equality are
+    those of the bytes.
+    """
+    n = len(data) - 16
+    eight, many = _rank(_eights(data)[: n + 8].byteswap())
+    wide = n - 16
+    ranks, many = _joint([eight[k : k + wide] for k in (0, 8, 16)], many)
+    return _joint([ranks[at + k] for k in (0, 24, MATCH - 24)], many)[0]
+
+
+def _exact_names(name: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of equal phrases: those of one name are compared by bytes with the first of them."""
+    order = np.argsort(name, kind="stable")
+    cut = _runs(name[order])
+    lead = np.empty(len(name), np.int64)
+    lead[order] = np.repeat(order[cut], np.diff(np.append(cut, len(name))))
+    number = lead.copy()
+    later = np.flatnonzero(lead != np.arange(len(name)))
+    other = size[later] != size[lead[later]]
+    for s in spans_of(size[later], CHUNK):
+        part = later[s][~other[s]]
+        if not np.array_equal(*(gather(data, start[p], size[part]) for p in (part, lead[part]))):
+            text = lambda i: data[start[i] : start[i] + size[i]].tobytes()
+            other[s] |= [text(i) != text(lead[i]) for i in later[s]]
+    seen: dict[tuple[int, bytes], int] = {}
+    for i in later[other].tolist():  # equal names, other bytes
+        number[i] = seen.setdefault((int(lead[i]), data[start[i] : start[i] + size[i]].tobytes()), i)
+    return number
+
+
 def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pass 2, by share: order the suffixes of the dictionary and give each group its verdicts.
 
@@ -276,8 +340,9 @@ def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     row = np.repeat(np.arange(len(pdf)), pdf["windows"].map(len))
     name = phrase_key(data, trigger, start, length)
     # the parse: the least document of each distinct phrase
-    order = np.lexsort((doc, name))
-    cut = _runs(name[order])
+    number = _exact_names(name, data, start, size)
+    order = np.lexsort((doc, number))
+    cut = _runs(number[order])
     lead = order[cut]
     least = doc[lead]
     distinct = np.empty(len(name), np.int64)
@@ -288,18 +353,18 @@ def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     alone = np.repeat(np.diff(np.append(runs, len(by))) == 1, np.diff(np.append(runs, len(by))))
     some = by[~alone]
     bits = np.zeros(len(lead), np.uint64)
-    if len(some):
-        n = length[lead[some]]
-        of = np.repeat(np.arange(len(some)), n)
+    for s in _by_trigger(trigger[lead][some], size[lead[some]]):
+        part = some[s]
+        n, long = length[lead[part]], size[lead[part]]
+        dictionary = np.concatenate([gather(data, start[lead[part]], long), np.zeros(16, np.uint8)])
+        of = np.repeat(np.arange(len(part)), n)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        suffix = window_hash(data, start[lead[some]][of] + nth)
-        suffix ^= trigger[lead[some]][of] * _B
-        rank = np.argsort(suffix, kind="stable")
-        same = _runs(suffix[rank])
-        first_doc = np.empty(len(of), np.int64)
-        first_doc[rank] = np.repeat(np.minimum.reduceat(least[some][of][rank], same), np.diff(np.append(same, len(of))))
-        seen = first_doc < least[some][of]
-        bits[some] = np.bitwise_or.reduceat(np.where(seen, np.uint64(1) << nth.astype(np.uint64), np.uint64(0)), np.cumsum(n) - n)
+        rank = suffix_ranks(dictionary, (np.cumsum(long) - long)[of] + nth)
+        # the parse in the order of the suffixes: the least document of each rank
+        first_doc = np.full(int(rank.max()) + 1, LAST_ID)
+        np.minimum.at(first_doc, rank, least[part][of])
+        seen = first_doc[rank] < least[part][of]
+        bits[part] = np.bitwise_or.reduceat(np.where(seen, np.uint64(1) << nth.astype(np.uint64), np.uint64(0)), np.cumsum(n) - n)
     verdict = np.where(doc > least[distinct], ~np.uint64(0), bits[distinct])
     use = (verdict != 0) | later
     rows = []
@@ -310,6 +375,15 @@ def _order_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["g", "names", "verdicts"])
 
 
+def _by_trigger(trigger: np.ndarray, size: np.ndarray):
+    """Slices of phrases in the order of their triggers, of about DICTIONARY bytes; those of one trigger stay together."""
+    runs = _runs(trigger)
+    if len(runs):
+        ends = np.append(runs[1:], len(trigger))
+        for s in spans_of(np.add.reduceat(size, runs), DICTIONARY):
+            yield slice(int(runs[s.start]), int(ends[s.stop - 1]))
+
+
 def _bounds(row: np.ndarray, n: int, shift: int = 0) -> list[int]:
     return np.searchsorted(row, np.arange(shift, n + shift), side="left").tolist()
 
@@ -338,7 +412,8 @@ def _removed(texts: list[bytes], ids: np.ndarray, names: np.ndarray, verdicts: n
             part = first[~full & (length > k) & (verdict >> np.uint64(k) & np.uint64(1)).astype(bool)] + k
             np.add.at(change, part, 1)
             np.add.at(change, part + MATCH, -1)
-    return raw, ends, np.cumsum(change)[: len(raw)] > 0
+    np.cumsum(change, out=change)
+    return raw, ends, change[: len(raw)] > 0
 
 
 def _apply(out_schema: pa.Schema, digest: bool, counts: bool):
@@ -365,8 +440,7 @@ def _apply(out_schema: pa.Schema, digest: bool, counts: bool):
         if digest:
             out["kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
         else:
-            nulls = docs.column(WAS_NULL).take(pa.array(order)).to_pylist()
-            out["text"] = pa.array([None if x else k.decode("utf-8", "ignore") for k, x in zip(kept, nulls, strict=True)], pa.string())
+            out["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         return pa.table({c: out[c] for c in out_schema.names}).cast(out_schema)
 
     return run
@@ -379,7 +453,9 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True
     make a character go too), n_bytes, n_removed and n_spans; with digest=True
     doc_id, the counts and the hash of the bytes left. Null texts stay null and
     count as empty, null ids come after all others, and rows of one id do not
-    take from each other. An empty table gives no rows. Columns of docs with the
+    take from each other. Rows are dealt by id and text, so only rows equal in
+    both meet in a task for sure. Windows are compared by their bytes; a group
+    tells its own phrases apart by 64-bit names. An empty table gives no rows. Columns of docs with the
     names of the counts give way to them, unless counts=False leaves the counts out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -388,7 +464,9 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True
     groups, shares = parts_for(size, GROUP_BYTES), parts_for(size, SHARE_BYTES)
     counted = ["n_bytes", "n_removed", "n_spans"] if counts else []
     docs = docs.drop(*counted)
-    dealt = docs.withColumn(WAS_NULL, F.col("text").isNull()).withColumn("text", text_or_empty()).withColumn(GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # shorter texts have no string to lose and go round the parse
+    long = F.octet_length(text_or_empty()) >= MATCH
+    dealt = docs.where(long).withColumn(GROUP, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     texts = pack_texts(dealt.select(GROUP, F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     sent = map_arrow(dealt.select(GROUP, "text"), _triggers(shares), "share bigint, g bigint, triggers binary")
@@ -409,7 +487,11 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(shape))
-    return pack_texts(source).groupBy(GROUP).cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest, counts), shape)
+    made = pack_texts(source).groupBy(GROUP).cogroup(verdicts.groupBy("g")).applyInArrow(_apply(arrow, digest, counts), shape)
+    body = F.octet_length(text_or_empty()).cast("long")
+    own = {"n_bytes": body, "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(text_or_empty(), 256)}
+    short = docs.where(~long).select(*[own[c].alias(c) if c in own and (digest or c in counted) else F.col(f"`{c}`") for c in arrow.names])
+    return made.union(short)
 
 
 def op3_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

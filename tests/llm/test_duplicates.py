@@ -169,6 +169,26 @@ def test_repeat_cases(spark):
     check_removed(cases.frame(spark, periodic))
 
 
+def test_suffix_ranks():
+    """Ranks order and equal the 50 bytes from each position as bytes do, however the dictionary repeats itself."""
+    r = np.random.default_rng(3)
+    for letters, n in ((2, 400), (20, 3000), (1, 90), (256, 300)):
+        one = bytes(r.integers(0, letters, n).astype(np.uint8))
+        text = one + one[: n // 2] + bytes(60) + one
+        at = np.arange(len(text) - 49)
+        rank = phrase_parse.suffix_ranks(np.frombuffer(text + bytes(16), np.uint8), at)
+        strings = [text[i : i + 50] for i in at]
+        places = {x: k for k, x in enumerate(sorted(set(strings)))}
+        assert rank.tolist() == [places[x] for x in strings]
+
+
+def test_equal_names_of_different_phrases():
+    data = np.frombuffer(b"a" * 50 + b"b" * 50 + b"a" * 50 + b"c" * 60 + b"b" * 50, np.uint8)
+    start, size = np.array([0, 50, 100, 150, 210]), np.array([50, 50, 50, 60, 50])
+    assert phrase_parse._exact_names(np.zeros(5, np.uint64), data, start, size).tolist() == [0, 1, 0, 3, 1]
+    assert phrase_parse._exact_names(np.array([9, 8, 9, 7, 8], np.uint64), data, start, size).tolist() == [0, 1, 0, 3, 1]
+
+
 def test_phrases_hold_every_window_once():
     r = np.random.default_rng(0)
     texts = [bytes(r.integers(97, 100, n).astype(np.uint8)) for n in (0, 10, 49, 50, 51, 500, 3000)] + [b"a" * 700]
