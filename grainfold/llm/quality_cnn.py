@@ -24,13 +24,15 @@ from .shared import map_arrow, table
 
 #: Labelled documents that the model is fitted on, at most, and bytes of their texts together; texts are never cut.
 SAMPLE = 4_000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.3
 SLICE_BYTES = 512 << 10
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 3, 24, 16
 #: Positions of a block; a chunk is two neighbouring blocks, so chunks overlap by half.
 BLOCK = 42
+#: Positions whose responses are held at a time.
+POSITIONS = 1 << 15
 
 
 @dataclass
@@ -62,20 +64,33 @@ def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _patches(net: Network, raw: np.ndarray) -> np.ndarray:
-    x = net.embed[raw]
+    x = np.ascontiguousarray(net.embed[raw])
     m = (len(raw) - WIDTH) // STRIDE + 1
     return np.lib.stride_tricks.as_strided(x, (m, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
 
 
+def _tops(net: Network, raw: np.ndarray, cuts: np.ndarray, stop: int) -> np.ndarray:
+    """The largest response of each filter in the runs of positions from each cut to the next, POSITIONS at a time."""
+    top = np.empty((len(cuts), FILTERS), np.float32)
+    for s in spans_of(np.diff(cuts, append=stop), POSITIONS):
+        lo, hi = int(cuts[s.start]), int(cuts[s.stop]) if s.stop < len(cuts) else stop
+        hot = _patches(net, raw[lo * STRIDE : (hi - 1) * STRIDE + WIDTH]) @ net.conv
+        top[s] = np.maximum.reduceat(hot, cuts[s] - lo, axis=0)
+    return top
+
+
 def pooled(net: Network, texts: list[bytes], keep: bool = False):
-    """(documents, 2 * FILTERS + 1) pooled responses; with keep also the winning positions and the buffer."""
+    """(documents, 2 * FILTERS + 1) pooled responses; with keep also the winning positions and the buffer.
+
+    Texts are whole; what a text takes beyond its bytes is a hundredth of them.
+    """
+    if not texts:
+        return np.zeros((0, 2 * FILTERS + 1), np.float32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     start, positions, room = _layout(sizes)
     raw = np.zeros(room + WIDTH, np.uint8)
     for t, s in zip(texts, start.tolist(), strict=True):
         raw[s : s + len(t)] = np.frombuffer(t, np.uint8)
-    patches = _patches(net, raw)
-    hot = patches @ net.conv
     # blocks: BLOCK positions each, the last one of a document takes the rest
     blocks = np.maximum(1, positions // BLOCK)
     end = np.cumsum(blocks)
@@ -83,13 +98,13 @@ def pooled(net: Network, texts: list[bytes], keep: bool = False):
     nth = np.arange(len(of)) - (end - blocks)[of]
     edge = start[of] // STRIDE + nth * BLOCK
     stop = (start // STRIDE + positions)[of]
-    # reduceat takes runs [edge, stop): put the gap after each document into segments of its own
+    # put the gap after each document into runs of their own
     last = nth == blocks[of] - 1
     cuts = np.empty(len(of) + last.sum(), np.int64)
-    where = np.arange(len(of)) + np.concatenate([[0], np.cumsum(last)[:-1]]) if len(of) else np.zeros(0, np.int64)
+    where = np.arange(len(of)) + np.concatenate([[0], np.cumsum(last)[:-1]])
     cuts[where] = edge
     cuts[where[last] + 1] = stop[last]
-    top = np.maximum.reduceat(hot, cuts, axis=0)[where]
+    top = _tops(net, raw, cuts, (len(raw) - WIDTH) // STRIDE + 1)[where]
     # chunks: pairs of neighbouring blocks; a document of one block is one chunk
     chunks = np.maximum(1, blocks - 1)
     first = np.repeat((end - blocks) - (np.cumsum(chunks) - chunks), chunks) + np.arange(int(chunks.sum()))
@@ -104,14 +119,15 @@ def pooled(net: Network, texts: list[bytes], keep: bool = False):
     won = np.empty((len(texts), 2 * FILTERS), np.int64)
     p0 = start // STRIDE
     for d in range(len(texts)):
-        own = hot[p0[d] : p0[d] + positions[d]]
-        won[d, :FILTERS] = p0[d] + own.argmax(0)
         part = chunk[at[d] : at[d] + chunks[d]]
-        low = part.argmin(0)
-        lo = low * BLOCK
-        hi = np.where(low == chunks[d] - 1, positions[d], (low + 2) * BLOCK)
-        for f in range(FILTERS):
-            won[d, FILTERS + f] = p0[d] + lo[f] + own[lo[f] : hi[f], f].argmax()
+        best = np.concatenate([part.argmax(0), part.argmin(0)])  # chunks that decide
+        lo = best * BLOCK
+        hi = np.where(best == chunks[d] - 1, positions[d], (best + 2) * BLOCK)
+        for c in np.unique(best):  # their positions anew
+            mine = np.flatnonzero(best == c)
+            a, b = int(p0[d] + lo[mine[0]]), int(p0[d] + hi[mine[0]])
+            hot = _patches(net, raw[a * STRIDE : (b - 1) * STRIDE + WIDTH]) @ net.conv[:, mine % FILTERS]
+            won[d, mine] = a + hot.argmax(0)
     return z, won, raw
 
 

@@ -23,7 +23,8 @@ from .shared import map_arrow, table
 
 SAMPLE = 8_000
 THRESHOLD = 0.3
-SLICE_BYTES = 2 << 20
+#: Bytes of texts measured together, and of them those that take 8 bytes each at a time.
+SLICE_BYTES, BLOCK_BYTES = 2 << 20, 1 << 20
 #: Rules that hold before any model.
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -60,16 +61,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[first[i] : last[i]], which are not empty and in order."""
     n = last - first
-    at = np.repeat(first - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    place = at - np.repeat(first, n)
-    h = _BYTE_MIX[raw[at]]
+    out = np.empty(len(n), np.uint64)
+    for s in spans_of(n, BLOCK_BYTES):
+        out[s] = _hashes(raw, first[s], n[s])
+    return out
+
+
+def _hashes(raw: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    start = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(start, n)
+    h = _BYTE_MIX[raw[place + np.repeat(first, n)]]
     far = place >= len(_POWERS)
     if far.any():  # very long words: mixed powers, by block
         h[far] = _mix(h[far] + (place[far] // len(_POWERS)).astype(np.uint64))
         place %= len(_POWERS)
     h *= _POWERS[place]
-    return _mix(np.add.reduceat(h, np.cumsum(n) - n) + n.astype(np.uint64))
+    return _mix(np.add.reduceat(h, start) + n.astype(np.uint64))
 
 
 def words_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +108,10 @@ def statistics(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     size = np.fromiter(map(len, texts), np.int64, d)
     starts = np.cumsum(size) - size
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    of = np.repeat(np.arange(d), size)
-    hist = np.bincount(of * 256 + raw, minlength=d * 256).reshape(d, 256)
+    hist = np.zeros((d, 256), np.int64)
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), BLOCK_BYTES):
+            hist[i] += np.bincount(np.frombuffer(t, np.uint8, min(BLOCK_BYTES, len(t) - a), a), minlength=256)
     begins = hist.copy()
     begins[:, 0x80:0xC0] = 0  # bytes within a character
     chars = begins.sum(1)
@@ -112,10 +121,10 @@ def statistics(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         first, last = words_of(raw, starts)
     else:
         first = last = np.zeros(0, np.int64)
-    n_words = np.bincount(of[first], minlength=d) if len(first) else np.zeros(d, np.int64)
+    doc = np.searchsorted(starts + size, first, side="right")
+    n_words = np.bincount(doc, minlength=d)
     repeat, distinct = np.zeros(d, np.int64), np.zeros(d, np.int64)
     if len(first):
-        doc = of[first]
         h = word_hashes(raw, first, last)
         own = _mix(h + doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         distinct = np.bincount(doc[np.unique(own, return_index=True)[1]], minlength=d)

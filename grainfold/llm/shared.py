@@ -66,10 +66,13 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages now.
 
     Its cleaner removes them when the driver's garbage is collected, which may
-    be long after; an operator of several large shuffles asks in between.
+    be long after; an operator of several large shuffles asks in between. Only
+    the time of deletion depends on it: without a JVM at hand nothing happens.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 #: Rows of an Arrow batch at most: whole texts make batches of megabytes.
