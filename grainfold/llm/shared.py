@@ -75,8 +75,8 @@ def free_shuffles(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
-#: Rows of an Arrow batch at most: whole texts make batches of megabytes.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch at most: whole texts make batches of megabytes. A batch has one row at least.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def give_back() -> None:
@@ -90,10 +90,11 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows (a setting of the session); tasks give their memory back."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """df.mapInArrow in batches of at most BATCH, by settings of the session; tasks give their memory back."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        if not 0 < int(conf.get(key, None) or 0) <= most:
+            conf.set(key, most)
 
     def tidy(batches):
         yield from run(batches)
