@@ -164,7 +164,7 @@ def _unpacked(blobs, kind) -> np.ndarray:
 
 
 def _triggers(shares: int):
-    """Pass 1, by batch: the trigger hashes of each group of documents, by share; twice if two of its documents have them."""
+    """Pass 1, by batch: for each share the trigger hashes of groups of documents, group by group; twice if two documents of a group have them."""
 
     def run(batches):
         for batch in batches:
@@ -184,27 +184,43 @@ def _triggers(shares: int):
             keep = new_doc & (nth < 2)
             trigger, g = trigger[keep], g[keep]
             share = _share_of(trigger, shares)
-            order = np.lexsort((share, g))
+            order = np.lexsort((g, share))
             trigger, g, share = trigger[order], g[order], share[order]
-            cut = _runs(g * shares + share)
-            stop = np.append(cut[1:], len(g))
-            yield pa.RecordBatch.from_pydict(
-                {"share": pa.array(share[cut], pa.int64()), "g": pa.array(g[cut], pa.int64()), "triggers": pa.array([_short(trigger[a:b]).tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary())}
-            )
+            cut = _runs(share)
+            runs = np.union1d(cut, _runs(g))
+            count = np.diff(np.append(runs, len(g)))
+            rows = {c: [] for c in ("share", "groups", "counts", "triggers")}
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True):
+                own = slice(*np.searchsorted(runs, (a, b)))
+                rows["share"].append(int(share[a]))
+                rows["groups"].append(_packed(g[runs[own]]))
+                rows["counts"].append(_packed(count[own]))
+                rows["triggers"].append(_short(trigger[a:b]).tobytes())
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("share", pa.int64()), *[(c, pa.binary()) for c in ("groups", "counts", "triggers")]]))
 
     return run
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pass 1, by share: for each group of documents its triggers that occur twice or more."""
-    every = np.sort(_joined(pdf["triggers"], np.uint32))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    rows = []
-    for g, blobs in pdf.groupby("g")["triggers"]:
-        own = np.unique(_joined(blobs, np.uint32))
-        own = own[np.isin(own, twice, assume_unique=True)]
-        if len(own):
-            rows.append((g, pdf["share"].iloc[0], own.tobytes()))
+    give_back()
+    trigger = _joined(pdf["triggers"], np.uint32)
+    g = np.repeat(_unpacked(pdf["groups"], np.int64), _unpacked(pdf["counts"], np.int64))
+    order = np.lexsort((g, trigger))
+    trigger, g = trigger[order], g[order]
+    same = trigger[1:] == trigger[:-1]
+    twice = np.zeros(len(trigger), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    trigger, g = trigger[twice], g[twice]
+    order = np.argsort(g, kind="stable")
+    trigger, g = trigger[order], g[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (trigger[1:] != trigger[:-1])
+    trigger, g = trigger[first], g[first]
+    cut = _runs(g)
+    share = pdf["share"].iloc[0]
+    rows = [(int(g[a]), share, trigger[a:b].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True)]
     return pd.DataFrame(rows, columns=["g", "share", "triggers"])
 
 
@@ -469,7 +485,7 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True
     dealt = docs.where(long).withColumn(GROUP, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     texts = pack_texts(dealt.select(GROUP, F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
-    sent = map_arrow(dealt.select(GROUP, "text"), _triggers(shares), "share bigint, g bigint, triggers binary")
+    sent = map_arrow(dealt.select(GROUP, "text"), _triggers(shares), "share bigint, groups binary, counts binary, triggers binary")
     repeated = materialise(sent.groupBy("share").applyInPandas(_repeated, "g bigint, share bigint, triggers binary"))
     free_shuffles(docs.sparkSession)
 
