@@ -5,8 +5,12 @@ number stays a card number with a right check digit, a date a date. The
 permutation depends on the key and the value alone, so equal values stay linked
 across documents and different values stay different. Each half of a value is
 shifted by a keyed hash of the other half, eight times, modulo the size of its
-own range; ranges that are products need no walking: 400 Gregorian years are
-189 x 773 days.
+own range; every range is a product, so nothing has to be walked or drawn again.
+
+Dates are permuted among those of their class: days 1 to 9, 10 to 12, 13 to 28
+or 29 to 31 of the months January to September or October to December. So a
+date keeps its length in every writing, a month-first date stays one that can
+only be read so, and one date has one pseudonym in all writings.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
-#: Dates of this range can be permuted: 146,097 days.
-FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Dates of these years can be permuted.
+FIRST_YEAR, YEARS = 1800, 400
+#: Bands of days and months that keep their width in writing: the first one, and how many.
+DAY_BANDS, MONTH_BANDS = ((1, 9), (10, 3), (13, 16)), ((1, 9), (10, 3))
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -100,8 +106,58 @@ def _day(m: Column) -> Column:
     ).cast("date")
 
 
-def _offset(m: Column) -> Column:
-    return F.datediff(_day(m), F.to_date(F.lit(FIRST_DAY)))
+def _late_days(first_month: int, n_months: int) -> list[str]:
+    """The days 29 to 31 of these months that all years have, as MM-dd."""
+    return [f"{m:02}-{d}" for m in range(first_month, first_month + n_months) for d in range(29, 1 + (30 if m in (4, 6, 9, 11) else 28 if m == 2 else 31))]
+
+
+_LEAP = [y for y in range(FIRST_YEAR, FIRST_YEAR + YEARS) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+
+
+def _factors(n: int) -> tuple[int, int]:
+    """n as a product of two numbers, as near to each other as may be."""
+    a = max(x for x in range(1, int(n**0.5) + 1) if n % x == 0)
+    return a, n // a
+
+
+def permuted_date(day: Column, net: Callable[..., Column]) -> Column:
+    """The date (as yyyy-MM-dd) that stands for a date of the years that can be permuted."""
+    year, month, d = (f(day).cast("bigint") for f in (F.year, F.month, F.dayofmonth))
+    year = year - FIRST_YEAR
+    two = lambda n: F.lpad(n.cast("bigint").cast("string"), 2, "0")
+    written = lambda y, rest: F.concat_ws("-", (y + FIRST_YEAR).cast("bigint").cast("string"), rest)
+
+    def within(index: Column, size: int, tweak: str, write: Callable[[Column], Column]) -> Column:
+        a, b = _factors(size)
+        mixed = net(F.floor(index / b), index % b, _big(a), _big(b), F.lit(tweak))
+        return _let(mixed, lambda r: _let(r["a"] * b + r["b"], write))
+
+    def regular(m0: int, nm: int, d0: int, nd: int) -> Column:
+        index = (year * nm + month - m0) * nd + d - d0
+        return within(index, YEARS * nm * nd, f"{m0}:{d0}", lambda x: written(F.floor(x / (nm * nd)), F.concat_ws("-", two(F.floor(x / nd) % nm + m0), two(x % nd + d0))))
+
+    def late(m0: int, nm: int) -> Column:
+        slots = _late_days(m0, nm)
+        leap = _LEAP if m0 <= 2 else []
+        every = F.array(*[F.lit(x) for x in slots])
+        most = YEARS * len(slots)
+        index = year * len(slots) + F.array_position(every, F.date_format(day, "MM-dd")) - 1
+        write = lambda x: written(F.floor(x / len(slots)), F.element_at(every, (x % len(slots) + 1).cast("int")))
+        if not leap:
+            return within(index, most, f"{m0}:29", write)
+        years = F.array(*[F.lit(y - FIRST_YEAR).cast("bigint") for y in leap])
+        index = F.when((month == 2), most + F.array_position(years, year) - 1).otherwise(index)
+        either = lambda x: F.when(x < most, write(x)).otherwise(written(F.element_at(years, F.greatest(x - most + 1, F.lit(1)).cast("int")), F.lit("02-29")))
+        return within(index, most + len(leap), f"{m0}:29", either)
+
+    out = None
+    for m0, nm in MONTH_BANDS:
+        in_month = month.between(m0, m0 + nm - 1)
+        for d0, nd in DAY_BANDS:
+            here, value = in_month & d.between(d0, d0 + nd - 1), regular(m0, nm, d0, nd)
+            out = F.when(here, value) if out is None else out.when(here, value)
+        out = out.when(in_month, late(m0, nm))
+    return out
 
 
 def kind_of(m: Column) -> Column:
@@ -111,7 +167,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(anchored("ip"), F.when(F.forall(F.split(m, r"\."), lambda o: (o.cast("int") < 256) & ~o.rlike("^0[0-9]")), F.lit("ip")))
-        .when(anchored("date"), F.when(_offset(m).between(0, DAYS[0] * DAYS[1] - 1), F.lit("date")))
+        .when(anchored("date"), F.when(F.year(_day(m)).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), F.lit("date")))
         .when(anchored("phone"), F.lit("phone"))
         .when(anchored("ssn"), F.when(ssn, F.lit("ssn")))
         .when(luhn_sum(_numbers(m), 0) % 10 == 0, F.lit("card"))
@@ -119,10 +175,15 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    """What stands for the validated value m of a kind."""
+    """What stands for the validated value m of a kind.
+
+    Numbers and dates are permuted within their format. A mail address keeps its
+    domain; its local part, of any length, becomes 80 bits of a keyed hash, which
+    links equal addresses but is no permutation.
+    """
     net = lambda a, b, size_a, size_b, tweak=None: feistel(a, b, size_a, size_b, key, kind if tweak is None else F.concat_ws(":", kind, tweak))
 
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), m), 256), 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
+    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), m), 256), 1, 20), F.lit("@"), F.substring_index(m, "@", -1))
 
     octet = lambda i: F.element_at(F.split(m, r"\."), i).cast("bigint")
     ip = _let(
@@ -130,18 +191,16 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         lambda r: F.concat_ws(".", *[x.cast("bigint").cast("string") for x in (F.floor(r["a"] / 256), r["a"] % 256, F.floor(r["b"] / 256), r["b"] % 256)]),
     )
 
-    def write_date(r: Column) -> Column:
-        day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (r["a"] * DAYS[1] + r["b"]).cast("int"))
+    def write_date(new: Column) -> Column:
         sep = F.regexp_extract(m, "^[0-9]+([./-])", 1)
-        padded = m.rlike("^[0-9]{2}[./][0-9]{2}[./]")
-        d = F.when(padded, F.date_format(day, "dd")).otherwise(F.date_format(day, "d"))
-        mo = F.when(padded, F.date_format(day, "MM")).otherwise(F.date_format(day, "M"))
         one, two = (F.element_at(F.split(m, "[./-]"), i) for i in (1, 2))
-        day_first = (_day(m) == F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(m, "[0-9]+$", 0), F.lpad(two, 2, "0"), F.lpad(one, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
-        rest = F.concat(sep, F.date_format(day, "yyyy"))
-        return F.when(sep == "-", F.date_format(day, "yyyy-MM-dd")).when(day_first, F.concat(d, sep, mo, rest)).otherwise(F.concat(mo, sep, d, rest))
+        y, mo, d = (F.element_at(F.split(new, "-"), i) for i in (1, 2, 3))
+        day_first = F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(m, "[0-9]+$", 0), F.lpad(two, 2, "0"), F.lpad(one, 2, "0")), F.lit("yyyy-MM-dd")).isNotNull()
+        narrow = lambda field, like: F.when(F.length(like) == 1, field.cast("int").cast("string")).otherwise(field)
+        first, second = F.when(day_first, d).otherwise(mo), F.when(day_first, mo).otherwise(d)
+        return F.when(sep == "-", new).otherwise(F.concat(narrow(first, one), sep, narrow(second, two), sep, y))
 
-    date = _let(_offset(m), lambda n: _let(net(F.floor(n / DAYS[1]), n % DAYS[1], _big(DAYS[0]), _big(DAYS[1])), write_date))
+    date = _let(_day(m), lambda day: _let(permuted_date(day, net), write_date))
 
     ten = F.substring(_numbers(m), -10, 10)
 

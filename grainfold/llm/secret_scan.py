@@ -3,7 +3,8 @@
 Base patterns find assignments, access keys and hex strings. The corpus then
 decides what else is a secret: every candidate value is hashed, and the hashes
 are counted by distinct repositories and distinct owners. A value that many
-owners carry is a widely copied example; one that few owners carry looks live.
+owners or many repositories carry is a widely copied example; one that few carry
+looks live.
 Bare credential-like tokens whose value is owner-specific join the spans as kind
 `owned`, and base spans are marked live or copied.
 """
@@ -22,11 +23,11 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]{16,}", 0),
     "hex": (r"[0-9a-f]{24,}", 0),
 }
-#: Bare tokens that may be credentials: long, with a digit and both cases or a value known from a base span.
+#: Bare tokens that may be credentials: long, with letters and a digit; both cases, or a value known from a base span.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ASSIGN_LEAST = 6
-#: A value of more owners than this is a widely copied example.
-MAX_OWNERS = 2
+#: A value of more owners, or of more repositories, than this is a widely copied example.
+MAX_OWNERS, MAX_REPOS = 2, 4
 
 
 def _kind(text: Column, kind: str, rank: int, pattern: str, group: int, least: int = 0) -> Column:
@@ -41,11 +42,13 @@ def _kind(text: Column, kind: str, rank: int, pattern: str, group: int, least: i
     )
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Spans and their ownership for every row.
 
     Returns doc_id, spans (array of start, rank, kind, end, hash, strong),
-    owned (the same for added spans), n_live, n_copied. Null texts count as
+    owned (the same for added spans), n_live, n_copied, and the owners and
+    repositories of its most copied value: most_owners, most_repos (0 without
+    candidates). Null texts count as
     empty, null owners as the owner "". Repeated rows are kept apart and each
     gets its spans. An empty table gives no rows.
     """
@@ -79,19 +82,20 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     seen = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repo").agg(F.max(F.col("s.kind") != "owned").alias("known"), F.max("s.strong").alias("strong"))
     owners = seen.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("known").alias("known"), F.max("strong").alias("strong"))
     values = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("known").alias("known"), F.max("strong").alias("strong"))
-    live = (F.col("n_owners") <= max_owners) & (F.col("known") | F.col("strong"))
-    judged = each.join(values.select("hash", live.alias("live")), each["s.hash"] == values["hash"])
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & (F.col("known") | F.col("strong"))
+    judged = each.join(values.select("hash", live.alias("live"), "n_owners", "n_repos"), each["s.hash"] == values["hash"])
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("s.kind") == "owned") & F.col("live"), F.col("s"))).alias("owned"),
         F.count_if((F.col("s.kind") != "owned") & F.col("live")).alias("n_live"),
         F.count_if((F.col("s.kind") != "owned") & ~F.col("live")).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("most_repos"),
     )
     return found.join(per_row, "row", "left").select(
         "doc_id",
         "spans",
         F.coalesce("owned", F.array().cast(found.schema["spans"].dataType)).alias("owned"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repos")],
     )
 
 
@@ -106,4 +110,6 @@ def op1_ownership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("owned").cast("long").alias("n_owned"),
         "n_live",
         "n_copied",
+        "most_owners",
+        "most_repos",
     )

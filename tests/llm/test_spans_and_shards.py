@@ -49,6 +49,53 @@ def test_copied_values_are_not_owned(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 1}
 
 
+def test_copied_over_repositories_of_one_owner(spark):
+    value = "Ab1Ab1Ab1Ab1Ab1Ab1Ab1Ab1"
+    rows = [(i, f"see {value} there", f"l{i}", "s", 1) for i in range(6)] + [(9, "see Cd2Cd2Cd2Cd2Cd2Cd2Cd2Cd2 there", "en", "s", 1), (10, "plain", "en", "s", 1)]
+    got = {r.doc_id: r for r in secret_scan.scan(cases.frame(spark, rows)).collect()}
+    assert not got[0].owned and (got[0].most_owners, got[0].most_repos) == (1, 6)
+    assert len(got[9].owned) == 1 and got[9].most_repos == 1 and got[10].most_repos == 0
+
+
+def test_dates_are_permuted_within_their_format(spark):
+    """All dates of some years in every writing: no two dates share a pseudonym, lengths stay, all writings of a date agree."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(n) for y in (1800, 1899, 1996, 2000, 2001, 2199) for n in range(365)]
+    rows = []
+    for d in sorted(set(days)):
+        forms = [f"{d:%Y-%m-%d}", f"{d:%d/%m/%Y}", f"{d.day}.{d.month}.{d.year}", f"{d.day}/{d.month:02}/{d.year}"]
+        if d.day > 12:
+            forms += [f"{d:%m/%d/%Y}", f"{d.month}/{d.day}/{d.year}"]
+        rows += [(d.isoformat(), f) for f in forms]
+    df = spark.createDataFrame(rows, "day string, form string")
+    out = df.select("day", "form", pseudonyms.kind_of(F.col("form")).alias("kind")).select("day", "form", "kind", pseudonyms.pseudonym(F.col("form"), F.col("kind"), "k").alias("new")).collect()
+    assert all(r.kind == "date" and len(r.new) == len(r.form) for r in out)
+    of, to = {}, {}
+    for r in out:
+        assert of.setdefault(r.new, r.day) == r.day
+        parts = [int(x) for x in re.split("[-./]", r.new)]
+        if "-" in r.form:
+            new = datetime.date(*parts)
+        else:
+            try:
+                new = datetime.date(parts[2], parts[1], parts[0])
+            except ValueError:
+                new = datetime.date(parts[2], parts[0], parts[1])
+        assert to.setdefault(r.day, new) == new and 1800 <= new.year < 2200
+    assert len(set(to.values())) == len(to)
+    assert sum(d != new.isoformat() for d, new in to.items()) > 0.98 * len(to)
+
+
+def test_late_days_are_complete():
+    import datetime
+
+    every = sum(d.day >= 29 for d in (datetime.date(1800, 1, 1) + datetime.timedelta(n) for n in range(146_097)))
+    assert every == 400 * sum(len(pseudonyms._late_days(a, n)) for a, n in pseudonyms.MONTH_BANDS) + len(pseudonyms._LEAP)
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
