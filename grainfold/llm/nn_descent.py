@@ -25,20 +25,23 @@ from .shared import free_shuffles, materialise, parts_for, table
 
 K = 40
 TABLES, BLOCK = 8, 400
-ROUNDS, SAMPLE, HEARD = 4, 24, 6
-POOL, WIDTH, HOPS = 240, 64, 5
+#: Rounds at most; they end when a round renews less than this share of all neighbours.
+ROUNDS, SETTLED = 12, 0.01
+SAMPLE, HEARD = 24, 6
+#: A query's pool, and how many of it are expanded in a hop. Hops at most; they end when every pool is expanded.
+POOL, WIDTH, HOPS = 240, 64, 12
 RESCORED = 64
 #: Nodes of a part, and in-degree over which reverse neighbours are sampled before they are dealt out.
 PART, HUB = 2_000, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part, one for each id: finite, not zero, of the most common length."""
+    """vec_id and vector (doubles) of the rows that take part: finite, not zero, of the most common length."""
     v = F.col(vec_col).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & sound)
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("vector") == (length["d"] if length else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.where(F.size("vector") == (length["d"] if length else 0))
 
 
 def _rows(x: np.ndarray) -> pa.Array:
@@ -89,7 +92,7 @@ def _by_part(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(node, return_inverse=True)
 
 
-NODE = "node bigint, q binary, ids binary, scores binary, fresh binary, kth float"
+NODE = "node bigint, q binary, ids binary, scores binary, fresh binary, kth float, renewed int"
 
 
 def _block(group: pa.Table) -> pa.Table:
@@ -128,12 +131,20 @@ def _merge(group: pa.Table) -> pa.Table:
     ids, score = np.concatenate(ids), np.concatenate(score)
     sound = (ids >= 0) & (ids != nodes[own])
     near, best, new = _best(own[sound], ids[sound], score[sound], old[sound], len(nodes), K)
+    before = np.concatenate([[x is not None] for x in known]) if len(known) else np.zeros(0, bool)
+    held = np.sort(_pair(own, ids)[sound & np.repeat(before, sizes)])
+    arrived = (near >= 0) & ~np.isin(_pair(np.broadcast_to(np.arange(len(nodes))[:, None], near.shape), near), held)
     mine = np.array([x is not None for x in q])
     return pa.table(
-        {"node": pa.array(nodes[mine]), "q": pa.array([x for x in q if x is not None], pa.binary()), "ids": _rows(near[mine]), "scores": _rows(best[mine]), "fresh": _rows(new[mine].astype(np.uint8)), "kth": pa.array(best[mine][:, -1])}
+        {"node": pa.array(nodes[mine]), "q": pa.array([x for x in q if x is not None], pa.binary()), "ids": _rows(near[mine]), "scores": _rows(best[mine]), "fresh": _rows(new[mine].astype(np.uint8)), "kth": pa.array(best[mine][:, -1]), "renewed": pa.array(arrived[mine].sum(1).astype(np.int32))}
     )
 
 
+def _pair(place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One number for a node's place in its part and a neighbour."""
+    return place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ids.astype(np.uint64)
+
+
 def _hash01(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(salt * 0x165667B1 + 1)
     h ^= h >> np.uint64(31)
@@ -242,6 +253,8 @@ def build_graph(nodes: DataFrame, n: int) -> DataFrame:
         heard = met.groupBy("part").applyInArrow(_local_join(turn), "node bigint, ids binary, scores binary")
         # sampled neighbours are new no longer
         graph = merged(_aged(graph, turn), heard)
+        if (graph.agg(F.sum("renewed")).first()[0] or 0) <= SETTLED * n * min(K, max(1, n - 1)):
+            break
     return graph
 
 
@@ -359,34 +372,34 @@ def search(graph: DataFrame, starts: DataFrame, n: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: Column | str, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for the rows where `queries` holds.
 
-    Nearness is the inner product; ties go to the smaller vec_id. Vectors that
-    are null, zero, of another length or hold null or non-finite components take
-    no part. Rows of one vec_id count once. Fewer candidates than k are all
-    returned if the graph reaches them. An empty table gives no rows.
+    Nearness is the inner product; ties go to the smaller vec_id. Every row but
+    the query's own is a candidate, rows of the same vec_id too. Vectors that
+    are null, zero, of another length than most (no inner product with them is
+    defined) or hold null or non-finite components take no part. Fewer candidates
+    than k are all returned. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = materialise(usable(vectors, id_col, vec_col))
-    nodes = materialise(rows.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    rows = materialise(usable(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id()))
+    nodes = materialise(rows.groupBy("vector").agg(F.min("row").alias("node"), F.count("*").alias("copies")))
     n = nodes.count()
     graph = build_graph(nodes.select("node", "vector"), n)
     # members of nodes: k + 1 of the smallest ids can be results; first within salted groups, so that no copy group is one task
-    of = rows.join(nodes.select("vector", "node", "copies"), "vector").select("vec_id", "node", "copies")
-    of = materialise(of)
-    small = of.where("copies = 1").select("node", "vec_id")
-    many = of.where("copies > 1").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(256)))
+    of = materialise(rows.join(nodes.select("vector", "node", "copies"), "vector").select("row", "vec_id", "node", "copies"))
+    small = of.where("copies = 1").select("node", "vec_id", "row")
+    many = of.where("copies > 1").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(256)))
     for keys in (["node", "salt"], ["node"]):
-        many = many.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    members = small.unionByName(many.select("node", "vec_id"))
-    asked = of.join(rows.where(queries).select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "node")
+        many = many.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id", "row"))).where(F.col("r") <= k + 1)
+    members = small.unionByName(many.select("node", "vec_id", "row"))
+    asked = of.join(rows.where(queries).select("row"), "row", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "node")
     starts = asked.select("node").distinct()
     found = materialise(search(graph, starts, n).unionByName(starts.select("node", F.col("node").alias("near"))))
     x, y = nodes.select("node", F.col("vector").alias("x")), nodes.select(F.col("node").alias("near"), F.col("vector").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
     # of a node's copies k + 1 can be results, and of its near nodes the first that have k + 1 members together
     scored = found.join(x, "node").join(y, "near").select("node", "near", dot.alias("score"))
-    top = scored.join(members.withColumnRenamed("node", "near"), "near").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    pairs = asked.join(top.select("node", "vec_id", "score"), "node").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    top = scored.join(members.withColumnRenamed("node", "near"), "near").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("r") <= k + 1)
+    pairs = asked.join(top.select("node", "vec_id", "row", "score"), "node").where("row <> query_row")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

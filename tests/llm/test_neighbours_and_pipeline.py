@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from grainfold.llm import nn_descent
@@ -10,34 +12,38 @@ def frame(spark, vectors):
 
 
 def brute(vectors, k=20):
-    sound = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8:
-            sound[i] = np.array(v, np.float32).astype(float)
-    out = {}
-    for q in sound:
+    """For each row that asks: query_id and the list of (vec_id, score) of its nearest other rows."""
+    sound = [(i, np.array(v, np.float32).astype(float)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
+    out = []
+    for a, (q, x) in enumerate(sound):
         if q % 20 == 0:
-            scores = sorted(((-float(sum(sound[q] * v)), i) for i, v in sound.items() if i != q))[:k]
-            out[q] = [(i, -s) for s, i in scores]
+            scores = sorted((-float(sum(x * y)), i) for b, (i, y) in enumerate(sound) if b != a)[:k]
+            out.append((q, [(i, -s) for s, i in scores]))
     return out
 
 
 def check(spark, vectors, recall=0.9):
     from pyspark.sql import functions as F
 
-    got = {}
-    for r in nn_descent.nearest(frame(spark, vectors), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    rows = nn_descent.nearest(frame(spark, vectors), F.col("vec_id") % 20 == 0).collect()
     want = brute(vectors)
-    assert set(got) == {q for q, x in want.items() if x}
+    assert Counter(r.query_id for r in rows) == sum((Counter({q: len(x)}) for q, x in want), Counter())
+    got = {}
+    for r in rows:
+        got.setdefault((r.query_id, r["rank"]), []).append((r.vec_id, r.score))
     found = []
-    for q, rows in got.items():
-        assert [x[0] for x in rows] == list(range(1, len(rows) + 1)) and len(rows) == len(want[q])
-        assert sorted(rows, key=lambda x: (-x[2], x[1])) == rows
-        scores = dict(want[q])
-        found += [i in scores for _, i, _ in rows]
-        for _, i, s in rows:
-            assert i not in scores or abs(scores[i] - s) < 1e-9
+    for q in {q for q, _ in want}:
+        lists = [x for p, x in want if p == q]  # rows of one id ask alike only if their vectors are equal
+        for n in range(1, 21):
+            expected = sorted(x[n - 1] for x in lists if len(x) >= n)
+            here = sorted(got.get((q, n), []))
+            assert len(here) == len(expected)
+            found += [e[0] in {i for m in range(1, 21) for i, _ in got.get((q, m), [])} for e in expected]
+        for x in lists:
+            scores = dict(x)
+            for n in range(1, 21):
+                for i, s in got.get((q, n), []):
+                    assert len(lists) > 1 or i not in scores or abs(scores[i] - s) < 1e-9
     assert not found or np.mean(found) >= recall
 
 
@@ -48,6 +54,15 @@ def test_recall_and_bad_vectors(spark):
     check(spark, vectors + bad + vectors[:3])
 
 
+def test_rows_of_one_id_are_candidates(spark):
+    """Two rows of the query's id with other vectors: both ask, and each finds the other."""
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0] * 8), (0, [2.0] * 8), (3, [1.5] * 8)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nn_descent.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 0, 16.0), (0, 1, 3, 24.0), (0, 2, 0, 16.0), (0, 2, 3, 12.0)]
+
+
 def test_copies_and_ties(spark):
     r = np.random.default_rng(1)
     one = r.standard_normal(8).tolist()
