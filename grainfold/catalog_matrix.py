@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import aggregate, enrich, qc, residuals, select, windows
+from .plans.storage import persist
 from .registry import register
 from .sources import orders
 
@@ -16,6 +17,11 @@ def _load(spark: SparkSession, sf_dir: str):
     return orders.matrix(spark, sf_dir), orders.cells(spark, sf_dir), orders.genes(spark, sf_dir)
 
 
+def _load_once(spark: SparkSession, sf_dir: str):
+    """The same with the matrix written once, for queries that read it several times."""
+    return persist(orders.matrix(spark, sf_dir)), orders.cells(spark, sf_dir), orders.genes(spark, sf_dir)
+
+
 def _r(column: str, digits: int = 6):
     return F.round(F.col(column), digits).alias(column)
 
@@ -132,12 +138,12 @@ def classify_droplets(spark, sf_dir):
 
 @register(QUERIES, f"+ {GENE_STATS}, {EXPECTED}, r AS (SELECT cell_id, gene_id, (n - mu) / SQRT(mu + mu * mu / 100) AS r, -mu / SQRT(mu + mu * mu / 100) AS z, SQRT(nc) AS b FROM ex CROSS JOIN nc) SELECT cell_id, gene_id, ROUND(LEAST(GREATEST(r, -b), b), 6) AS residual, ROUND(LEAST(GREATEST(z, -b), b), 6) AS zero_residual FROM r")
 def pearson_residuals(spark, sf_dir):
-    m, c, _ = _load(spark, sf_dir)
+    m, c, _ = _load_once(spark, sf_dir)
     return residuals.pearson(m, c.count()).select("cell_id", "gene_id", _r("residual"), _r("zero_residual"))
 
 
 def _variance(spark, sf_dir):
-    m, c, g = _load(spark, sf_dir)
+    m, c, g = _load_once(spark, sf_dir)
     return residuals.residual_variance(m, g, c.count())
 
 
@@ -158,7 +164,7 @@ SELECT g.gene_id, ROUND(GREATEST(0, COALESCE(s2, 0) / nc - POW(COALESCE(s, 0) /
 
 @register(QUERIES, BATCHED)
 def batch_residual_variance(spark, sf_dir):
-    m, c, g = _load(spark, sf_dir)
+    m, c, g = _load_once(spark, sf_dir)
     return residuals.batch_residuals(m, c.select("cell_id", F.col("chemistry").alias("batch")), g, c.count()).select("gene_id", _r("variance"))
 
 
@@ -167,7 +173,7 @@ DEVIANCE = f"""{EXPECTED}, dv AS (SELECT gene_id, SUM(n * LN(n / (ct::DOUBLE * g
 
 @register(QUERIES, f"+ {DEVIANCE} SELECT g.gene_id, ROUND(COALESCE(2 * (t - LN(1 - gt::DOUBLE / al) * (al - seen)), 0), 4) AS deviance FROM genes g LEFT JOIN dv USING (gene_id)")
 def deviance_statistics(spark, sf_dir):
-    m, _, g = _load(spark, sf_dir)
+    m, _, g = _load_once(spark, sf_dir)
     return residuals.deviance(m, g).select("gene_id", _r("deviance", 4))
 
 
@@ -189,7 +195,7 @@ def log2_gene_means(spark, sf_dir):
 
 @register(QUERIES, f"+ {GENE_STATS}, {VARIANCE} SELECT gene_id, ROW_NUMBER() OVER (ORDER BY variance DESC, gene_id)::INT AS rank FROM rv JOIN gene_stats USING (gene_id) JOIN genes USING (gene_id) WHERE valid AND NOT (size BETWEEN 1 AND 3 OR size = 50) QUALIFY rank <= 200")
 def top_variable_genes(spark, sf_dir):
-    m, c, g = _load(spark, sf_dir)
+    m, c, g = _load_once(spark, sf_dir)
     n = c.count()
     masked = qc.gene_mask(g, _gene_sets(spark, sf_dir), ["g1", "ieg"]).where("masked")
     return select.by_residuals(residuals.residual_variance(m, g, n), qc.gene_summary(m, g, n), 200, masked)
@@ -197,18 +203,26 @@ def top_variable_genes(spark, sf_dir):
 
 @register(QUERIES, f"+ {GENE_STATS}, {DEVIANCE} SELECT gene_id, ROW_NUMBER() OVER (ORDER BY ROUND(2 * (t - LN(1 - gt::DOUBLE / al) * (al - seen)), 6) DESC, gene_id)::INT AS rank FROM dv JOIN gene_stats USING (gene_id) WHERE valid QUALIFY rank <= 200")
 def top_deviant_genes(spark, sf_dir):
-    m, c, g = _load(spark, sf_dir)
+    m, c, g = _load_once(spark, sf_dir)
     return select.by_deviance(residuals.deviance(m, g).select("gene_id", _r("deviance")), qc.gene_summary(m, g, c.count()), 200)
 
 
-@register(QUERIES)
+#: A least-squares parabola of y on x over d(gene_id, x, y, ...), x centred: `fit` adds its value as trend.
+PARABOLA = """mx AS (SELECT AVG(x) AS c FROM d), dz AS (SELECT d.*, x - c AS z FROM d CROSS JOIN mx),
+q AS (SELECT COUNT(*)::DOUBLE AS s0, SUM(z) AS s1, SUM(z * z) AS s2, SUM(z * z * z) AS s3, SUM(z * z * z * z) AS s4, SUM(y) AS t0, SUM(z * y) AS t1, SUM(z * z * y) AS t2 FROM dz),
+dt AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS whole FROM q),
+co AS (SELECT (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / whole AS b0, (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / whole AS b1,
+  (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / whole AS b2 FROM dt), fit AS (SELECT dz.*, b0 + b1 * z + b2 * z * z AS trend FROM dz CROSS JOIN co)"""
+
+
+@register(QUERIES, f"+ {GENE_STATS}, d AS (SELECT gene_id, LOG2(mean) AS x, LOG2(sd / mean) AS y FROM gene_stats WHERE valid AND mean > 0 AND sd > 0), {PARABOLA} SELECT gene_id, ROW_NUMBER() OVER (ORDER BY y - trend DESC, gene_id)::INT AS rank FROM fit QUALIFY rank <= 200")
 def top_dispersed_genes(spark, sf_dir):
     return select.by_dispersion(_gene_stats(spark, sf_dir), 200)
 
 
-@register(QUERIES)
+@register(QUERIES, f"+ {GENE_STATS}, d AS (SELECT gene_id, LOG10(mean) AS x, LOG10(sd * sd) AS y, mean FROM gene_stats WHERE mean > 0 AND sd > 0), {PARABOLA}, e AS (SELECT gene_id, mean, SQRT(POW(10, trend)) AS e, -mean / SQRT(POW(10, trend)) AS z0 FROM fit), p AS (SELECT gene_id, z0, LEAST((n - mean) / e, SQRT(nc)) AS z, nc FROM matrix JOIN e USING (gene_id) CROSS JOIN nc), a AS (SELECT gene_id, MAX(nc) AS nc, SUM(z) + (MAX(nc) - COUNT(*)) * MAX(z0) AS s, SUM(z * z) + (MAX(nc) - COUNT(*)) * MAX(z0) * MAX(z0) AS s2 FROM p GROUP BY 1) SELECT gene_id, ROW_NUMBER() OVER (ORDER BY (s2 - s * s / nc) / (nc - 1) DESC, gene_id)::INT AS rank FROM a QUALIFY rank <= 200")
 def top_standardised_genes(spark, sf_dir):
-    m, c, g = _load(spark, sf_dir)
+    m, c, g = _load_once(spark, sf_dir)
     n = c.count()
     return select.by_standardised_variance(m, qc.gene_summary(m, g, n), n, 200)
 

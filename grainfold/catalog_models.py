@@ -122,7 +122,7 @@ def bisection(spark, sf_dir):
 
 
 def _karyotype(spark, sf_dir):
-    m, c, g = base._load(spark, sf_dir)
+    m, c, g = base._load_once(spark, sf_dir)
     n = c.count()
     keep = qc.housekeeping(residuals.residual_variance(m, g, n).join(qc.gene_summary(m, g, n), "gene_id"), n, 1e9, 0.0).select("gene_id")
     groups = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean"]).join(keep, "gene_id", "left_semi")
@@ -205,11 +205,15 @@ def count_distances(spark, sf_dir):
     return d.select("a", "b", F.round(special.stabilised_minkowski(F.col("p"), F.col("q")), 6).alias("stabilised"), F.round(special.poisson_proximity(2.0, 3.0)("p", "q"), 4).alias("proximity"))
 
 
-@register(QUERIES)
+WHOLE_PAIRS = "ct3 AS (SELECT label, LIST(s ORDER BY j) AS p FROM (SELECT label, j, ROUND(SUM(ABS(vec[j]))) AS s FROM v CROSS JOIN RANGE(1, 65) r(j) GROUP BY 1, 2) GROUP BY label), x AS (SELECT a.label AS a, b.label AS b, UNNEST(a.p) AS p, UNNEST(b.p) AS q FROM ct3 a JOIN ct3 b ON a.label < b.label)"
+EVIDENCE = "LGAMMA({n}) + LGAMMA(SUM(p) + SUM(q) + {n}) - LGAMMA(SUM(p) + {n}) - LGAMMA(SUM(q) + {n}) + SUM(LGAMMA(p + 1) + LGAMMA(q + 1) - LGAMMA(p + q + 1))"
+
+
+@register(QUERIES, f"WITH v AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS vec, label::BIGINT AS label FROM embeddings), {WHOLE_PAIRS}, s AS (SELECT a, b, {EVIDENCE.format(n='COUNT(*)::DOUBLE')} AS w, {EVIDENCE.format(n='(COUNT(*) FILTER (p > 0 OR q > 0))::DOUBLE')} AS sub FROM x GROUP BY 1, 2) SELECT a, b, ROUND(1 - 1 / (1 + EXP(LEAST(w, 700))), 6) AS distance, ROUND(1 - 1 / (1 + EXP(LEAST(sub, 700))), 6) AS subspace FROM s", prefix="")
 def multinomial_distances(spark, sf_dir):
     from .operators import special
 
     f = orders.factors(spark, sf_dir).select("label", F.posexplode("vec").alias("j", "x")).groupBy("label", "j").agg(F.round(F.sum(F.abs("x"))).alias("s"))
     p = f.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda e: e["s"]).alias("p"))
     d = p.withColumnRenamed("label", "a").join(p.withColumnsRenamed({"label": "b", "p": "q"}), F.col("a") < F.col("b"))
-    return d.select("a", "b", special.multinomial_distance("p", "q").alias("distance"), special.multinomial_subspace_distance("p", "q").alias("subspace"))
+    return d.select("a", "b", F.round(special.multinomial_distance("p", "q"), 6).alias("distance"), F.round(special.multinomial_subspace_distance("p", "q"), 6).alias("subspace"))

@@ -56,13 +56,12 @@ def gaussian(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def best_reference(profiles: DataFrame, references: DataFrame) -> DataFrame:
     """Per item the reference of greatest correlation: profiles(item, gene_id, x), references(ref, gene_id, y); both dense on shared genes."""
-    r = profiles.join(F.broadcast(references), "gene_id").groupBy("item", "ref").agg(F.corr("x", "y").alias("r"))
+    r = profiles.join(references, "gene_id").groupBy("item", "ref").agg(F.corr("x", "y").alias("r"))
     return r.groupBy("item").agg(F.max(F.struct("r", (-F.col("ref")).alias("k"))).alias("m")).select("item", (-F.col("m.k")).alias("ref"), F.col("m.r").alias("r"))
 
 
 def dense_labels(df: DataFrame, column: str, out: str) -> DataFrame:
     """Whole numbers from 0 for the distinct values of a column, in their order."""
-    from pyspark.sql.window import Window
+    from .windows import positions
 
-    codes = df.select(column).distinct().withColumn(out, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("bigint"))
-    return df.join(F.broadcast(codes), column)
+    return df.join(positions(df.select(column).distinct(), [column], out), column)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import div0
-from .windows import share_of_column_max, top_k
+from .windows import positions, share_of_column_max, top_k
 
 
 def qc_report(cells: DataFrame) -> DataFrame:
@@ -98,8 +98,7 @@ def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0 with average ranks: (n0, n1, u)."""
     per = df.groupBy(value).agg(F.count("*").alias("k"), F.count_if(F.col(group) == 1).alias("k1"))
     # ranks from the counts of distinct values, not from rows
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = per.withColumn("rank", F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2.0)
+    r = positions(per, [value], "before", "k").withColumn("rank", F.col("before") + (F.col("k") + 1) / 2.0)
     s = r.agg(F.sum("k").alias("n"), F.sum("k1").alias("n1"), F.sum(F.col("rank") * F.col("k1")).alias("s"))
     return s.select((F.col("n") - F.col("n1")).alias("n0"), "n1", (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"))
 

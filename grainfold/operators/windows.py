@@ -49,21 +49,36 @@ def centred(df: DataFrame, keys: list[str], order: str, value: str, n: int, how:
     return d.withColumn(out, value_).drop("_i", "_n", "_a")
 
 
+def positions(df: DataFrame, order: list, out: str, weight: str | None = None) -> DataFrame:
+    """df with `out`: the number of rows (or the sum of their weights) before a row in this order.
+
+    Rows are dealt into ranges of the order, which are written; a row's number is
+    its place in its range after the sizes of earlier ranges. No task has more
+    than a range, and only one row for each range meets in one task.
+    """
+    from ..plans.storage import persist
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    d = persist(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    size = d.groupBy("_range").agg(F.sum(one).alias("_size"))
+    earlier = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    skip = F.broadcast(size.select("_range", F.coalesce(earlier, F.lit(0)).alias("_skip")))
+    inside = F.sum(one).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return d.join(skip, "_range").withColumn(out, (F.col("_skip") + F.coalesce(inside, F.lit(0))).cast("bigint")).drop("_range", "_skip")
+
+
 def renumber(df: DataFrame, source: str, label: str, out: str = "label") -> DataFrame:
     """Labels of several sources in one range: each source's labels become 0..k-1 in their order, after those of earlier sources."""
-    codes = df.select(source, label).distinct().withColumn("_r", F.dense_rank().over(Window.partitionBy(source).orderBy(label)) - 1)
-    size = codes.groupBy(source).agg((F.max("_r") + 1).alias("_k"))
-    before = size.withColumn("_o", F.coalesce(F.sum("_k").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
-    codes = codes.join(F.broadcast(before), source).select(source, label, (F.col("_r") + F.col("_o")).cast("bigint").alias(out))
-    return df.join(F.broadcast(codes), [source, label])
+    return df.join(positions(df.select(source, label).distinct(), [source, label], out), [source, label])
 
 
 def equal_bins(df: DataFrame, value: str, key: str, n_bins: int, out: str = "bin") -> DataFrame:
     """n_bins bins of equal size by ascending value; the remainder at the low end is left out."""
     n = df.count()
     size = max(1, n // n_bins)
-    rn = F.row_number().over(Window.orderBy(value, key)) - 1 - (n - size * n_bins)
-    return df.withColumn("_r", rn).where("_r >= 0").withColumn(out, F.floor(F.col("_r") / size)).drop("_r")
+    low = n - size * n_bins
+    return positions(df, [value, key], "_r").withColumn("_r", F.col("_r") - low).where("_r >= 0").withColumn(out, F.floor(F.col("_r") / size)).drop("_r")
 
 
 def share_of_column_max(counts: DataFrame) -> DataFrame:
