@@ -188,8 +188,8 @@ def smoothed_labels(spark, sf_dir):
 
 @register(QUERIES)
 def balanced_knn(spark, sf_dir):
-    """Every cell has at most 5 outgoing and 8 incoming edges among its 20 nearest."""
-    return graph.balance(graph.knn(orders.factors(spark, sf_dir), 20), 5, 8)
+    """Every cell has at most 5 outgoing and 8 incoming edges among 20 near cells."""
+    return graph.balance(graph.knn_approximate(orders.factors(spark, sf_dir), 20), 5, 8)
 
 
 @register(QUERIES, f"WITH RECURSIVE {KNN}, e AS (SELECT src, dst FROM nn WHERE dist < 1.1 AND rank <= 2), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), walk(id, seen) AS (SELECT DISTINCT src, src FROM b UNION SELECT walk.id, b.dst FROM walk JOIN b ON walk.seen = b.src) SELECT id, MIN(seen) AS component FROM walk GROUP BY 1", prefix="")

@@ -47,6 +47,84 @@ def knn(factors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
 
 
+def knn_approximate(factors: DataFrame, k: int, *, tables: int = 6, block: int = 1_000, rounds: int = 4, settled: float = 0.01) -> DataFrame:
+    """(src, dst, dist, rank): k near other cells of every cell; exact where one block holds all cells.
+
+    Random hyperplanes through the mean deal the cells into blocks, anew for each
+    table; a block gives its cells their nearest there. Then neighbours of
+    neighbours meet: at every cell those that name it and those that it names
+    are compared. That ends when a round renews less than the share `settled`
+    of all edges. Every step moves a cell to a number of places that does not
+    depend on the number of cells.
+    """
+    from ..plans.storage import persist
+
+    d = persist(factors.select("cell_id", "vec"))
+    n = d.count()
+    bits = max(0, int(np.ceil(np.log2(max(1, n / block)))))
+    parts = max(1, -(-n // block))
+    centre = np.array([r["m"] for r in d.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m")).orderBy("j").collect()])
+    tables = tables if bits else 1
+
+    def code(batches):
+        planes = np.random.default_rng(5).standard_normal((len(centre), tables * bits))
+        for p in batches:
+            if len(p):
+                side = ((np.stack(p["vec"].to_numpy()) - centre) @ planes > 0).reshape(len(p), tables, bits)
+                yield pd.DataFrame({"cell_id": p["cell_id"], "vec": p["vec"], "codes": list((side * (1 << np.arange(bits))).sum(2).astype(np.int64))})
+
+    cells = d.mapInPandas(code, "cell_id long, vec array<double>, codes array<long>").select("cell_id", "vec", F.posexplode("codes").alias("t", "code"))
+    cells = persist(cells)
+    split = cells.groupBy("t", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * block)).alias("splits"))
+    cells = cells.join(split, ["t", "code"]).withColumn("salt", F.pmod(F.xxhash64("cell_id", "t"), F.col("splits")))
+    shape = "src long, dst long, dist double"
+    best = persist(_nearest(cells.groupBy("t", "code", "salt").applyInPandas(lambda p: _within(p["cell_id"].to_numpy(), np.stack(p["vec"].to_numpy()), k), shape), k))
+    for _ in range(rounds if bits else 0):
+        back = best.select(F.col("dst").alias("mid"), F.col("src").alias("member"))
+        chance = Window.partitionBy("mid").orderBy(F.xxhash64("mid", "member"))
+        back = back.withColumn("r", F.row_number().over(chance)).where(F.col("r") <= k).drop("r")
+        met = best.select(F.col("src").alias("mid"), F.col("dst").alias("member")).union(back).distinct()
+        met = met.join(d.select(F.col("cell_id").alias("member"), "vec"), "member").withColumn("part", F.pmod(F.xxhash64("mid"), F.lit(parts)))
+        more = met.groupBy("part").applyInPandas(_meet(-(-k // 3)), shape)
+        new = persist(_nearest(best.select("src", "dst", "dist").union(more), k))
+        renewed = new.join(best.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        best = new
+        if renewed <= settled * n * k:
+            break
+    return best
+
+
+def _within(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of each of these cells among them."""
+    m = min(k, len(ids) - 1)
+    if m < 1:
+        return pd.DataFrame({"src": [], "dst": [], "dist": []})
+    square, out = (x**2).sum(1), []
+    for i in range(0, len(ids), 512):
+        near = np.sqrt(np.maximum(square[i : i + 512, None] - 2 * x[i : i + 512] @ x.T + square, 0))
+        near[ids[i : i + 512, None] == ids[None]] = np.inf
+        top = np.argpartition(near, m - 1, axis=1)[:, :m]
+        out.append(pd.DataFrame({"src": np.repeat(ids[i : i + 512], m), "dst": ids[top].ravel(), "dist": np.take_along_axis(near, top, 1).ravel()}))
+    got = pd.concat(out)
+    return got[np.isfinite(got["dist"])]
+
+
+def _meet(k: int):
+    """For the cells that meet at each `mid` of a part: the k nearest of each among them, once for each pair."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [_within(g["member"].to_numpy(), np.stack(g["vec"].to_numpy()), k) for _, g in pdf.groupby("mid")]
+        return pd.concat(found).drop_duplicates(["src", "dst"])
+
+    return run
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """(src, dst, dist, rank) of the k nearest different dst of every src."""
+    pairs = found.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+
+
 def balance(candidates: DataFrame, k: int, max_in: int) -> DataFrame:
     """(src, dst, dist): k neighbours each with at most max_in incoming edges, greedily.
 

@@ -331,3 +331,37 @@ def test_glm_factors_stop_on_a_tolerance(spark, random_counts):
 
     _, _, history = glmpca.poisson_glm_factors(sparse(spark, random_counts), 1, tolerance=0.02)
     assert 1 < len(history) < 200 and abs(history[-1] - history[-2]) <= 0.02 * abs(history[-2])
+
+
+def test_approximate_neighbours(spark):
+    from grainfold.operators import graph
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((900, 12)) + 3 * r.standard_normal((9, 12))[r.integers(0, 9, 900)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    exact = {(e.src, e.dst) for e in graph.knn(d, 10).collect()}
+    near = graph.knn_approximate(d, 10, block=120).collect()
+    assert len(near) == 9000 and all(e.src != e.dst and 1 <= e["rank"] <= 10 for e in near)
+    assert len(exact & {(e.src, e.dst) for e in near}) > 0.9 * len(exact)
+    for e in near[:50]:
+        assert abs(e.dist - np.linalg.norm(x[e.src] - x[e.dst])) < 1e-6
+    one = {(e.src, e.dst) for e in graph.knn_approximate(d.limit(60), 3).collect()}
+    assert one == {(e.src, e.dst) for e in graph.knn(d.limit(60), 3).collect()}
+    assert graph.knn_approximate(d.where("false"), 3).count() == 0 and graph.knn_approximate(d.limit(1), 3).count() == 0
+
+
+def test_positions(spark):
+    from grainfold.operators import windows
+
+    r = np.random.default_rng(1)
+    values = r.integers(0, 40, 500).tolist()
+    d = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(values)], "k long, v long, w long")
+    got = windows.positions(d, ["v", "k"], "at").collect()
+    order = sorted(range(500), key=lambda i: (values[i], i))
+    assert {r.k: r.at for r in got} == {i: n for n, i in enumerate(order)}
+    weighed = {r.k: r.at for r in windows.positions(d, ["v", "k"], "at", "w").collect()}
+    total = 0
+    for i in order:
+        assert weighed[i] == total
+        total += i % 3
+    assert windows.positions(d.where("false"), ["v"], "at").count() == 0
