@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet into the shared folder and rereads it as the next stage's docs. All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents, extra ones too.
+
+Null and empty texts have too few words and go in the first stage. Of rows that
+share an id one stays, by the second stage; rows without an id are kept by it
+and have no near duplicates. An empty table passes through all stages and gives
+no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +37,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms; n_chars follows."""
-    return _as(docs, pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY, report="_pseudonyms"))
+    report = "_pseudonyms"
+    while report in docs.columns:  # docs keeps its columns, whatever their names
+        report = f"_{report}"
+    return _as(docs, pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY, report=report))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
