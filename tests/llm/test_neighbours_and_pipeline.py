@@ -77,6 +77,8 @@ def test_few_and_none(spark):
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
+    from pyspark.sql import functions as F
+
     from grainfold.llm import near_dups, packing, phrase_parse, pseudonyms, quality_rules
     from grainfold.llm.shared import materialise
 
@@ -107,7 +109,10 @@ def test_pipeline(spark, sf_dir):
     assert set(kept[3]) == set(kept[2])
     assert sum(kept[3][d] != kept[2][d] for d in kept[3]) > 0
     assert set(r.doc_id for r in docs.select("doc_id").distinct().collect()) == set(kept[3])
-    for _, stage in corpus_pipeline.STAGES:  # nulls, ties and clashing names
-        odd = stage(spark, cases.clashing(spark), sf_dir)
+    for name, stage in corpus_pipeline.STAGES:  # nulls, ties and clashing names
+        clashing = cases.clashing(spark).withColumn("_pseudonyms", F.lit("mine"))
+        odd = stage(spark, clashing, sf_dir)
         assert odd.count() > 0
+        if name != "packing":
+            assert odd.columns == clashing.columns and odd.where("_pseudonyms <> 'mine' or pii <> 'pii'").count() == 0
         stage(spark, cases.frame(spark, []), sf_dir).count()
