@@ -52,7 +52,7 @@ def batch_corrected(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    e = graph.knn(orders.factors(spark, sf_dir), 15).select("src", "dst", F.lit(1.0).alias("weight"))
+    e = graph.knn_approximate(orders.factors(spark, sf_dir), 15).select("src", "dst", F.lit(1.0).alias("weight"))
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
@@ -63,7 +63,7 @@ def communities(spark, sf_dir):
 
 @register(QUERIES)
 def polished_clusters(spark, sf_dir):
-    near = graph.knn(orders.factors(spark, sf_dir), 15)
+    near = graph.knn_approximate(orders.factors(spark, sf_dir), 15)
     e = near.select("src", "dst", F.lit(1.0).alias("weight"))
     labels = cluster.communities(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
     return cluster.polish(labels, near, 20)
