@@ -25,7 +25,7 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return out
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Keys numbered in the order of their first look-up."""
 
     def __missing__(self, key: str) -> int:
@@ -45,7 +45,7 @@ class RaggedTable:
         self.clear()
 
     def clear(self) -> None:
-        self.number = _Numbers()
+        self.number = Numbers()
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
