@@ -34,7 +34,7 @@ from .ragged import Numbers, gather, spans_of
 from .shared import give_back, pack_texts, parts_for, table, text_or_empty, total_bytes
 
 #: Bytes of text of a group and of a share (before equal strings fall together), and the least number of shares.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 SHARE_BYTES = 32 << 20
 LEAST_SHARES = 12
 #: Bytes of distinct strings under one inverted index: it takes about 160 bytes for each.
