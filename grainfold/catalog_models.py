@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, residuals, select
+from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, reports, residuals, select, windows
 from .registry import register
 from .sources import orders
 
@@ -146,6 +146,41 @@ def copy_numbers(spark, sf_dir):
     return cluster.viterbi(k.join(g.select("gene_id", "start"), "gene_id").select("group_id", "gene_id", "start", "ploidy"), ["group_id"], "start", "ploidy")
 
 
+@register(QUERIES)
+def report_karyotype(spark, sf_dir):
+    """Ploidies and copy numbers by group and gene with the side of the groups' top split."""
+    return reports.ploidy_sides(copy_numbers(spark, sf_dir))
+
+
+@register(QUERIES)
+def smoothed_karyotype(spark, sf_dir):
+    k, g = _karyotype(spark, sf_dir)
+    placed = k.join(g.select("gene_id", "chromosome", "start"), "gene_id").select("group_id", "gene_id", "chromosome", "start", "ploidy")
+    return windows.lowess(placed, ["group_id", "chromosome"], "start", "ploidy", 100)
+
+
+@register(QUERIES)
+def gene_set_p_values(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    sets = g.where("size between 1 and 9").select(F.lit("cc").alias("set_name"), "gene_id").union(g.where("type = 'PROMO'").select(F.lit("promo"), "gene_id"))
+    return enrich.gene_set_p(enrich.enrichment_by(m, base._clusters(c), g), sets)
+
+
+RANDOM_SETS = base.SIGNATURE.replace("SELECT 'a' AS set_name, gene_id FROM genes WHERE size = 1 UNION ALL SELECT 'b', gene_id FROM genes WHERE size = 2", "SELECT set_name, gene_id FROM (SELECT j AS set_name, gene_id, ROW_NUMBER() OVER (PARTITION BY j ORDER BY MD5(j || ':' || gene_id), gene_id) AS r FROM genes CROSS JOIN RANGE(100) x(j)) WHERE r <= 100")
+
+
+@register(QUERIES, RANDOM_SETS.replace(" SELECT cell_id, set_name, ROUND(s - AVG(s) OVER (PARTITION BY set_name), 6) AS score FROM ev", ", sc AS (SELECT cell_id, s - AVG(s) OVER (PARTITION BY set_name) AS score FROM ev) SELECT cell_id, ROUND(QUANTILE_CONT(score, 0.99), 6) AS threshold FROM sc GROUP BY 1"))
+def signature_thresholds(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    return enrich.signature_bootstrap(m, c, g, n_controls=20).select("cell_id", F.round("threshold", 6).alias("threshold"))
+
+
+@register(QUERIES)
+def classified_clusters(spark, sf_dir):
+    """Communities of cells; small ones reclassified, with a second label and both probabilities."""
+    return cluster.classify(communities(spark, sf_dir), orders.factors(spark, sf_dir).select("cell_id", "vec"), 20)
+
+
 @register(QUERIES)
 def doublet_finder(spark, sf_dir):
     m, c, g = base._load(spark, sf_dir)

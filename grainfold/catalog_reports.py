@@ -63,6 +63,27 @@ def report_regions(spark, sf_dir):
     return reports.region_shares(orders.cells(spark, sf_dir)).select("region", "cluster_id", _r("share"))
 
 
+@register(QUERIES, "+ n AS (SELECT r.sample_id, k.cluster_id, COUNT(c.cell_id) AS n FROM (SELECT DISTINCT sample_id FROM cells) r CROSS JOIN (SELECT DISTINCT cluster_id FROM cells) k LEFT JOIN cells c ON c.sample_id = r.sample_id AND c.cluster_id = k.cluster_id GROUP BY 1, 2) SELECT sample_id, cluster_id, ROUND(n::DOUBLE / MAX(n) OVER (PARTITION BY cluster_id), 6) AS share FROM n")
+def report_subregions(spark, sf_dir):
+    return reports.region_shares(orders.cells(spark, sf_dir), "sample_id").select("sample_id", "cluster_id", _r("share"))
+
+
+@register(QUERIES, "SELECT cell_id, age AS x, doublet_score AS y, age, region, chemistry, sample_id, 'v3' AS kit FROM cells")
+def report_batches(spark, sf_dir):
+    return reports.batch_points(orders.cells(spark, sf_dir), "age", "doublet_score", ["age", "region", "chemistry", "sample_id", "kit", "donor"], {"kit": "v3"})
+
+
+@register(QUERIES, f"+ {base.CELL_STATS} SELECT cluster_id, COUNT(*) AS n_cells, ROUND(AVG(COALESCE(total_umis, 0)), 6) AS mean_umis, ROUND(AVG(COALESCE(cell_cycle_fraction, 0)), 6) AS mean_cycle, ROUND(AVG(doublet_score), 6) AS mean_doublet FROM cell_stats JOIN cells USING (cell_id) GROUP BY 1")
+def report_overview(spark, sf_dir):
+    return reports.overview(_cells(spark, sf_dir)).select("cluster_id", "n_cells", _r("mean_umis"), _r("mean_cycle"), _r("mean_doublet"))
+
+
+@register(QUERIES, "+ d AS (SELECT chemistry, ROW_NUMBER() OVER (ORDER BY chemistry) - 1 AS code FROM (SELECT DISTINCT chemistry FROM cells)), k AS (SELECT MAX(code) AS k FROM d) SELECT cell_id, i::INT AS place, (i = code)::INT AS value FROM cells JOIN d USING (chemistry) CROSS JOIN k CROSS JOIN RANGE(100) r(i) WHERE i < k")
+def one_hot_batches(spark, sf_dir):
+    d = aggregate.one_hot(orders.cells(spark, sf_dir), "chemistry")
+    return d.select("cell_id", F.posexplode("one_hot").alias("place", "value"))
+
+
 @register(QUERIES, f"+ {base.GROUPS}, t AS (SELECT group_id, SUM(mean) AS t FROM grid GROUP BY 1), m AS (SELECT MEDIAN(t) AS m FROM t) SELECT group_id, gene_id, ROUND(LOG10(mean * m / t + 0.001), 6) AS level FROM grid JOIN t USING (group_id) CROSS JOIN m WHERE gene_id < 40")
 def report_markers(spark, sf_dir):
     m, c, g = base._load(spark, sf_dir)

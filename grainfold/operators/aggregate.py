@@ -65,3 +65,14 @@ def dense_labels(df: DataFrame, column: str, out: str) -> DataFrame:
     from .windows import positions
 
     return df.join(positions(df.select(column).distinct(), [column], out), column)
+
+
+def one_hot(df: DataFrame, column: str, out: str = "one_hot") -> DataFrame:
+    """df with an array of 0 and 1 for the distinct values of a column in their order; the last has no place, as the others determine it."""
+    from .windows import positions
+
+    codes = positions(df.select(column).distinct(), [column], "_code")
+    last = F.broadcast(codes.agg(F.max("_code").alias("_last")))  # one row
+    places = F.when(F.col("_last") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_last") - 1)).otherwise(F.array().cast("array<bigint>"))
+    d = df.join(codes, column).crossJoin(last)
+    return d.withColumn(out, F.transform(places, lambda i: (i == F.col("_code")).cast("int"))).drop("_code", "_last")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +93,37 @@ def gene_set_score(groups: DataFrame, members: DataFrame) -> DataFrame:
     return d.select("group_id", "set_name", gap.alias("gap")).groupBy("group_id", "set_name").agg(F.max("gap").alias("score"))
 
 
+def gene_set_p(groups: DataFrame, members: DataFrame, *, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """(group_id, set_name, score, p): gene_set_score and the share of permuted sets of the same size that reach it.
+
+    A group and a set are one task's work: one number a gene, and 50 permutations at a time.
+    """
+    every = groups.select("group_id", "gene_id", "enrichment").crossJoin(members.select("set_name").distinct())
+    d = every.join(members.select("set_name", "gene_id", F.lit(True).alias("hit")).distinct(), ["set_name", "gene_id"], "left")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gene_id")
+        e, hit = pdf["enrichment"].to_numpy(float), pdf["hit"].notna().to_numpy()
+        name, group = pdf["set_name"].iloc[0], pdf["group_id"].iloc[0]
+        r = np.random.default_rng([seed, zlib.crc32(f"{group}:{name}".encode())])
+        score = running_scores(e, hit[None])[0]
+        null = [running_scores(e, r.permuted(np.tile(hit, (min(50, permutations - a), 1)), axis=1)) for a in range(0, permutations, 50)]
+        p = 1 - np.searchsorted(np.sort(np.concatenate(null)), score) / permutations
+        return pd.DataFrame({"group_id": [group], "set_name": [name], "score": [score], "p": [p]})
+
+    shape = f"group_id {groups.schema['group_id'].dataType.simpleString()}, set_name string, score double, p double"
+    return d.groupBy("group_id", "set_name").applyInPandas(test, shape)
+
+
+def running_scores(enrichment: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """The running-sum score of each row of sets, true where a gene belongs."""
+    inside, outside = np.cumsum(enrichment * sets, axis=1), np.cumsum(~sets, axis=1, dtype=float)
+    for x in (inside, outside):
+        last = x[:, -1:]
+        np.divide(x, last, out=x, where=last != 0)
+    return (inside - outside).max(1)
+
+
 def differential(matrix: DataFrame, groups: DataFrame, genes: DataFrame) -> DataFrame:
     """Welch's t for each pair of groups (g1 < g2) and gene, with both means and shares of cells."""
     s = aggregate_matrix(matrix, groups, genes, ["mean", "variance", "nnz", "count"])
@@ -144,6 +178,15 @@ def signature_scores(matrix: DataFrame, cells: DataFrame, genes: DataFrame, memb
     return every.join(F.broadcast(centre), "set_name").select("cell_id", "set_name", (F.col("s") - F.col("c")).alias("score"))
 
 
+def signature_bootstrap(matrix: DataFrame, cells: DataFrame, genes: DataFrame, *, alpha: float = 0.01, n_sets: int = 100, set_size: int = 100, **how) -> DataFrame:
+    """(cell_id, threshold): the 1 - alpha percentile of a cell's scores for random sets of genes, each the first set_size by a hash."""
+    every = genes.select("gene_id").crossJoin(F.broadcast(genes.sparkSession.range(n_sets).withColumnRenamed("id", "set_name")))
+    key = F.md5(F.concat(F.col("set_name").cast("string"), F.lit(":"), F.col("gene_id").cast("string")).cast("binary"))
+    sets = every.withColumn("r", F.row_number().over(Window.partitionBy("set_name").orderBy(key, "gene_id"))).where(F.col("r") <= set_size)
+    scores = signature_scores(matrix, cells, genes, sets.select("set_name", "gene_id"), **how)
+    return scores.groupBy("cell_id").agg(F.percentile("score", F.lit(1 - alpha)).alias("threshold"))
+
+
 def best_signature(scores: DataFrame) -> DataFrame:
     """(cell_id, set_name, score): the best set of each cell, the first name on ties."""
     m = scores.groupBy("cell_id").agg(F.max("score").alias("score"))

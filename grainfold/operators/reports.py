@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,11 +48,38 @@ def cycle_histogram(cells: DataFrame) -> DataFrame:
     return share_of_column_max(cells.groupBy(step.cast("bigint").alias("row"), F.col("cluster_id").alias("col")).agg(F.count("*").alias("n")))
 
 
-def region_shares(cells: DataFrame) -> DataFrame:
-    """(region, cluster_id, share): counts over the cluster's largest region, zeros included."""
-    n = cells.groupBy("region", "cluster_id").agg(F.count("*").alias("n"))
-    grid = cells.select("region").distinct().crossJoin(cells.select("cluster_id").distinct()).join(n, ["region", "cluster_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return grid.select("region", "cluster_id", (F.col("n") / F.max("n").over(Window.partitionBy("cluster_id"))).alias("share"))
+def region_shares(cells: DataFrame, region: str = "region") -> DataFrame:
+    """(region, cluster_id, share): counts over the cluster's largest region, zeros included; region may be any column, such as a subregion."""
+    n = cells.groupBy(region, "cluster_id").agg(F.count("*").alias("n"))
+    grid = cells.select(region).distinct().crossJoin(cells.select("cluster_id").distinct()).join(n, [region, "cluster_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.select(region, "cluster_id", (F.col("n") / F.max("n").over(Window.partitionBy("cluster_id"))).alias("share"))
+
+
+def batch_points(cells: DataFrame, x: str, y: str, columns: list[str], scalars: dict | None = None) -> DataFrame:
+    """(cell_id, x, y, ...): every cell's place with those of the columns that exist; scalars of the workspace count for all cells."""
+    there = [F.col(c) for c in columns if c in cells.columns]
+    there += [F.lit(v).alias(c) for c, v in (scalars or {}).items() if c in columns and c not in cells.columns]
+    return cells.select("cell_id", F.col(x).alias("x"), F.col(y).alias("y"), *there)
+
+
+def overview(cells: DataFrame) -> DataFrame:
+    """(cluster_id, n_cells, mean_umis, mean_cycle, mean_doublet) of each cluster; a fraction that is missing counts as 0."""
+    means = {"mean_umis": "total_umis", "mean_cycle": "cell_cycle_fraction", "mean_doublet": "doublet_score"}
+    return cells.groupBy("cluster_id").agg(F.count("*").alias("n_cells"), *[F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(k) for k, c in means.items()])
+
+
+def ploidy_sides(copies: DataFrame, group: str = "group_id") -> DataFrame:
+    """copies(group_id, gene_id, ploidy, state) with `side`: 0 or 1 by the top split of the Ward tree over the groups' ploidies.
+
+    The tree is built on the driver from one row a group, a few hundred at most.
+    """
+    from .cluster import cut, ward
+
+    rows = copies.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("gene_id", "ploidy"))).alias("r")).orderBy(group).collect()
+    of = cut(ward(np.array([[e["ploidy"] for e in r.r] for r in rows])), 2) if rows else []
+    kind = copies.schema[group].dataType.simpleString()
+    sides = copies.sparkSession.createDataFrame([(r[group], s) for r, s in zip(rows, of, strict=True)], f"{group} {kind}, side int")
+    return copies.join(sides, group)
 
 
 def marker_levels(groups: DataFrame, markers: DataFrame) -> DataFrame:
@@ -88,9 +116,14 @@ def two_axis_states(scores: DataFrame) -> DataFrame:
     return scores.where(d != 0).select("cell_id", signed(inner).alias("x"), signed(d).alias("y"))
 
 
-def capped_scores(scores: DataFrame, percentile: float = 0.99) -> DataFrame:
-    """(cell_id, set_name, value): scores with negatives at 0 and each set capped at its percentile."""
+def capped_scores(scores: DataFrame, percentile: float = 0.99, bootstrap: DataFrame | None = None) -> DataFrame:
+    """(cell_id, set_name, value): scores with negatives at 0 and each set capped at its percentile.
+
+    With bootstrap(cell_id, threshold) only the scores over the cell's threshold are returned.
+    """
     cap = F.broadcast(scores.groupBy("set_name").agg(F.percentile("score", F.lit(percentile)).alias("cap")))
+    if bootstrap is not None:
+        scores = scores.join(bootstrap, "cell_id").where("score > threshold")
     return scores.join(cap, "set_name").select("cell_id", "set_name", F.least(F.greatest("score", F.lit(0.0)), F.greatest("cap", F.lit(0.0))).alias("value"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,6 +51,58 @@ def centred(df: DataFrame, keys: list[str], order: str, value: str, n: int, how:
     return d.withColumn(out, value_).drop("_i", "_n", "_a")
 
 
+def lowess(df: DataFrame, keys: list[str], order: str, value: str, bandwidth: float, out: str = "smoothed", robust: int = 3) -> DataFrame:
+    """Local linear regression of value on order within keys, over the share min(0.5, bandwidth / n) of a sequence's n rows.
+
+    Sequences (the genes of a chromosome in one group) are bounded by the genome.
+    A sequence whose share is under two rows keeps its values.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(**{out: local_lines(pdf[order].to_numpy(float), pdf[value].to_numpy(float), min(0.5, bandwidth / len(pdf)), robust)})
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` double"
+    return df.groupBy(*keys).applyInPandas(fit, shape)
+
+
+def local_lines(x: np.ndarray, y: np.ndarray, share: float, robust: int = 3) -> np.ndarray:
+    """The value at each x (ascending) of a line through its nearest points, by tricube weights; far residuals lose weight by the bisquare in each robust round."""
+    n = len(x)
+    k = int(share * n + 1e-10)
+    if k < 2:
+        return y.copy()
+    first = np.zeros(n, np.int64)
+    at = 0
+    for i in range(n):
+        while at + k < n and x[i] > (x[at] + x[at + k]) / 2:
+            at += 1
+        first[i] = at
+    trust, out = np.ones(n), np.empty(n)
+    rows = max(1, (1 << 18) // k)
+    for turn in range(robust + 1):
+        for a in range(0, n, rows):
+            near = first[a : a + rows, None] + np.arange(k)
+            here, xs = x[a : a + rows, None], x[near]
+            d = np.abs(xs - here)
+            h = d.max(1, keepdims=True)
+            w = np.where(d <= 0.001 * h, 1.0, (1 - (d / np.maximum(h, 1e-300)) ** 3) ** 3) * (d <= 0.999 * h) * trust[near]
+            w[(h == 0)[:, 0]] = trust[near[(h == 0)[:, 0]]]
+            total = w.sum(1, keepdims=True)
+            w = w / np.maximum(total, 1e-300)
+            mid = (w * xs).sum(1, keepdims=True)
+            spread = (w * (xs - mid) ** 2).sum(1, keepdims=True)
+            tilt = np.where(spread > 1e-12, (here - mid) * (xs - mid) / np.maximum(spread, 1e-12), 0.0)
+            out[a : a + rows] = np.where(total[:, 0] > 0, (w * (1 + tilt) * y[near]).sum(1), y[a : a + rows])
+        off = np.abs(y - out)
+        scale = 6 * np.median(off)
+        if turn == robust or scale == 0:
+            break
+        trust = np.where(off >= 0.999 * scale, 0.0, (1 - (off / scale) ** 2) ** 2)
+        trust[off <= 0.001 * scale] = 1.0
+    return out
+
+
 def positions(df: DataFrame, order: list, out: str, weight: str | None = None) -> DataFrame:
     """df with `out`: the number of rows (or the sum of their weights) before a row in this order.
 

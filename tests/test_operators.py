@@ -365,3 +365,70 @@ def test_positions(spark):
         assert weighed[i] == total
         total += i % 3
     assert windows.positions(d.where("false"), ["v"], "at").count() == 0
+
+
+def line_at(x, y, i, k, trust):
+    """The local line at x[i], step by step: the k nearest in a window that moves while the next point is nearer than the first."""
+    a = 0
+    for j in range(i + 1):
+        while a + k < len(x) and x[a + k] - x[j] < x[j] - x[a]:
+            a += 1
+    near = range(a, a + k)
+    h = max(abs(x[j] - x[i]) for j in near)
+    w = {j: (0.0 if abs(x[j] - x[i]) > 0.999 * h else 1.0 if abs(x[j] - x[i]) <= 0.001 * h else (1 - (abs(x[j] - x[i]) / h) ** 3) ** 3) * trust[j] for j in near}
+    used = [j for j in near if w[j] > 0]
+    slope, level = np.polyfit([x[j] - x[i] for j in used], [y[j] for j in used], 1, w=[math.sqrt(w[j]) for j in used])
+    return level
+
+
+def test_lowess(spark):
+    r = np.random.default_rng(3)
+    x = np.cumsum(r.integers(1, 9, 40)).astype(float)
+    y = np.sin(x / 20) + r.normal(0, 0.1, 40)
+    y[17] += 5
+    want, trust = None, np.ones(40)
+    for turn in range(4):
+        want = np.array([line_at(x, y, i, 12, trust) for i in range(40)])
+        off = np.abs(y - want)
+        u = off / (6 * np.median(off))
+        trust = np.where(u >= 0.999, 0.0, np.where(u <= 0.001, 1.0, (1 - u**2) ** 2))
+    d = spark.createDataFrame([("a", float(p), float(v)) for p, v in zip(x, y)] + [("b", 1.0, 7.0), ("b", 2.0, 9.0)], "k string, x double, y double")
+    got = {(p.k, p.x): p.smoothed for p in windows.lowess(d, ["k"], "x", "y", 12).collect()}
+    assert [got["a", p] for p in x] == pytest.approx(list(want), abs=1e-8)
+    assert (got["b", 1.0], got["b", 2.0]) == (7.0, 9.0)
+    assert abs(got["a", x[17]]) < 1.5  # the outlier has no say
+    assert windows.local_lines(np.ones(6), np.arange(6.0), 0.5, 0)[0] == pytest.approx(1.0)
+
+
+def test_gene_set_p(spark):
+    groups = spark.createDataFrame([(0, g, 10.0 if g < 4 else 1.0) for g in range(40)] + [(1, g, 1.0) for g in range(40)], "group_id long, gene_id long, enrichment double")
+    members = spark.createDataFrame([("top", g) for g in range(4)] + [("rest", g) for g in range(30, 34)], "set_name string, gene_id long")
+    p = {(r.group_id, r.set_name): r for r in enrich.gene_set_p(groups, members, permutations=200).collect()}
+    scores = {(r.group_id, r.set_name): r.score for r in enrich.gene_set_score(groups, members).collect()}
+    assert {k: r.score for k, r in p.items()} == pytest.approx(scores)
+    assert p[0, "top"].p <= 0.02 and p[0, "rest"].p > 0.5
+    e, sets = np.array([2.0, 1.0, 0.0]), np.array([[True, False, True], [False, False, False], [True, True, True]])
+    assert enrich.running_scores(e, sets).tolist() == pytest.approx([1.0, -1 / 3, 1.0])
+
+
+def test_classify_small_clusters(spark):
+    r = np.random.default_rng(0)
+    at = np.array([[0, 0], [8, 0], [0, 8]])
+    rows = [(i, [float(v) for v in at[i % 2] + r.normal(0, 1, 2)], 50 + i % 2) for i in range(60)]
+    rows += [(100 + i, [float(v) for v in at[i % 2] + r.normal(0, 1, 2)], 7) for i in range(4)]
+    d = spark.createDataFrame(rows, "cell_id long, vec array<double>, label long")
+    got = {x.cell_id: x for x in cluster.classify(d.select("cell_id", "label"), d.select("cell_id", "vec"), 10).collect()}
+    assert len(got) == 64 and {x.label for x in got.values()} == {0, 1}
+    assert all(got[i].label == i % 2 == got[100 + i % 4].label for i in range(4)) and all(got[i].label == i % 2 for i in range(60))
+    assert all(x.probability >= x.secondary_probability and x.probability + x.secondary_probability == pytest.approx(1) and x.secondary is not None for x in got.values())
+    alone = cluster.classify(d.select("cell_id", "label"), d.select("cell_id", "vec"), 1000).collect()
+    assert {(x.label, x.secondary, x.probability) for x in alone} == {(-1, None, None)}
+
+
+def test_one_hot_and_thresholds(spark):
+    d = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c")], "cell_id long, k string")
+    assert {r.cell_id: r.one_hot for r in aggregate.one_hot(d, "k").collect()} == {1: [0, 1], 2: [1, 0], 3: [0, 0]}
+    assert [r.one_hot for r in aggregate.one_hot(d.where("k = 'a'"), "k").collect()] == [[]]
+    scores = spark.createDataFrame([(1, "s", 2.0), (2, "s", 0.5)], "cell_id long, set_name string, score double")
+    over = spark.createDataFrame([(1, 1.0), (2, 1.0)], "cell_id long, threshold double")
+    assert [r.cell_id for r in reports.capped_scores(scores, bootstrap=over).collect()] == [1]
