@@ -52,6 +52,26 @@ def test_encode_cases(spark):
     assert bpe_replay.encode_texts(cases.frame(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_replay_of_cut_texts(monkeypatch):
+    monkeypatch.setattr(bpe_replay, "PIECE_CHARS", 20)
+    monkeypatch.setattr(bpe_replay, "STRING_CHARS", 5)
+    monkeypatch.setattr(bpe_replay, "INDEX_BYTES", 64)
+    enc = bpe_replay.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = ["the words of a text, don't 12345 " * 9, "", " ", " a b  c\n\nd \n e " * 7, "日本語" * 30, "x" * 99 + " y", "one\ttwo three four five six  seven "]
+    ids, n = enc.encode(texts)
+    for text, e, k in zip(texts, np.cumsum(n), n, strict=True):
+        assert ids[e - k : e].tolist() == TIKTOKEN.encode_ordinary(text)
+
+
+def test_replay_over_groups_and_shares(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(bpe_replay, "GROUP_BYTES", 60_000)
+    monkeypatch.setattr(bpe_replay, "SHARE_BYTES", 20_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = bpe_replay.encode_texts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = {r.doc_id: r.ids for r in got.collect()}
+    assert ids == {r.doc_id: TIKTOKEN.encode_ordinary(r.text or "") for r in docs.select("doc_id", "text").collect()}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aeinotT sS'\n\t0é.Ñ日 ́ \x1cΣİ<|>")), max_size=60))
 def test_words_equal_tokenizer(text):
