@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, reports, residuals, select, windows
+from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, reports, residuals, select, stockholm, windows
 from .registry import register
 from .sources import orders
 
@@ -121,6 +121,13 @@ def bisection(spark, sf_dir):
     return cluster.bisect(r.join(chosen.select("gene_id"), "gene_id", "left_semi").where("value > 0"))
 
 
+@register(QUERIES)
+def recursive_bisection(spark, sf_dir):
+    """Clusters of recursive normalised cuts, before and after the cut of their tree."""
+    m, c, g = base._load_once(spark, sf_dir)
+    return stockholm.stockholm(m, c, g)[0]
+
+
 def _karyotype(spark, sf_dir):
     m, c, g = base._load_once(spark, sf_dir)
     n = c.count()
