@@ -82,7 +82,7 @@ def halves(b: DataFrame, *, width: int = 6, rounds: int = 40, tolerance: float =
 
     A block of `width` vectors is multiplied by the scaled similarity, as joins from cells to genes and back, and made
     orthogonal from its products alone, a matrix of width x width for each node. The first vector, the roots
-    of the degrees, is taken out in every round. Ends when no node's value changes by more than the share `tolerance`.
+    of the degrees, is taken out in every round. Ends when no node's value changes by more than the share `tolerance`, after `rounds` at most.
     """
     xs = [f"x{j}" for j in range(width)]
     total = b.groupBy("node", "gene_id").agg(F.sum("v").alias("g"))
