@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, cross_tokens, near_dups, nn_descent, packing, phrase_parse, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding, whitening
+from . import bpe_replay, cross_tokens, near_dups, nn_descent, packing, phrase_parse, pseudonyms, quality_cnn, quality_rules, secret_scan, sharding, url_filter, whitening
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_merge_replay": bpe_replay.op9_merge_replay,
         "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
         "op11_batch_alignment": cross_tokens.op11_batch_alignment,
+        "op12_blocked_bloom_urls": url_filter.op12_blocked_bloom_urls,
         "op13_two_pass_whitening": whitening.op13_two_pass_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_blocked_bloom_urls": url_filter.SQL}
