@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample_ids
 from .ragged import spans_of
-from .shared import map_arrow, table
+from .shared import map_arrow, materialise, parts_for, table, text_or_empty
 
-#: Labelled documents that the model is fitted on, at most, and bytes of their texts together; texts are never cut.
+#: Labelled documents that the model is fitted on, at most; their texts are whole, of any size.
 SAMPLE = 4_000
-SAMPLE_BYTES = 24 << 20
+#: Bytes of the texts that come to the driver together, about.
+PART_BYTES = 8 << 20
 THRESHOLD = 0.3
 SLICE_BYTES = 512 << 10
 
@@ -156,56 +157,85 @@ def _gradients(net: Network, texts: list[bytes], y: np.ndarray) -> list[np.ndarr
     return [d_embed, d_conv, dz2.sum((0, 1)), d_dense, d_dense_bias, d_out, d_out_bias]
 
 
-def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Adam on log loss. Without texts of both labels the network predicts their share."""
+def train(stream, n: int, share: float, *, epochs: int = 6, least: int = 400, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Network:
+    """Adam on log loss, `least` steps or more. stream(m) gives the n documents (bytes, label) m times over, each time in another order.
+
+    Texts are held for SLICE_BYTES at a time (one text at least): a batch's
+    gradient is the weighted mean of its slices'. Without documents of both
+    labels the network predicts their share.
+    """
     net = Network.start(seed)
-    share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    net.out_bias[:] = np.log(share / (1 - share))
-    if len(y) == 0 or y.min() == y.max():
+    known = float(np.clip(share, 0.01, 0.99))
+    net.out_bias[:] = np.log(known / (1 - known))
+    if n == 0 or share in (0, 1):
         net.out[:] = 0
         return net
-    r = np.random.default_rng(seed)
     mean, square = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
-    steps = max(epochs * -(-len(y) // batch), 400)
-    step = 0
-    while step < steps:
-        order = r.permutation(len(y))
-        for i in range(0, len(y), batch):
-            rows = order[i : i + batch]
-            step += 1
-            now = rate * min(1, 2 * (1 - step / (steps + 1)))
-            # long texts: a few at a time, the gradient is their weighted mean
-            parts = [rows[k.start : k.stop] for k in spans_of(np.array([len(texts[j]) + 1 for j in rows]), SLICE_BYTES)]
-            grads = [[g * (len(part) / len(rows)) for g in _gradients(net, [texts[j] for j in part], y[part])] for part in parts]
-            for p, g, m, v in zip(net.params(), [sum(g) for g in zip(*grads, strict=True)], mean, square, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            if step >= steps:
-                break
+    each = -(-n // batch)
+    rounds = max(epochs, -(-least // each))
+    step, steps = 0, rounds * each
+    held: list[tuple[bytes, float]] = []
+    for k, row in enumerate(stream(rounds)):
+        at = k % n % batch
+        want = min(batch, n - (k % n - at))
+        if at == 0:
+            total, size = [np.zeros_like(p) for p in net.params()], 0
+        held.append(row)
+        size += len(row[0]) + 1
+        if size < SLICE_BYTES and at < want - 1:
+            continue
+        part = _gradients(net, [t for t, _ in held], np.array([y for _, y in held], np.float32))
+        total = [t + g * (len(held) / want) for t, g in zip(total, part, strict=True)]
+        held, size = [], 0
+        if at < want - 1:
+            continue
+        step += 1
+        now = rate * min(1, 2 * (1 - step / (steps + 1)))
+        for p, g, m, v in zip(net.params(), total, mean, square, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
-    """A network from the whole texts of at most `sample` labelled documents outside the held-out fold; fewer, if they pass most_bytes."""
-    some = F.broadcast(sample_ids(labels, sample))
-
-    def whole(batches):
-        for b in batches:
-            texts = b.column(1).fill_null("").cast(pa.binary())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": texts, "size": pc.binary_length(texts).cast(pa.int64())})
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least: int = 400) -> Network:
+    """A network from the whole texts of at most `sample` labelled documents outside the held-out fold, whatever their sizes.
 
-    rows = map_arrow(docs.join(some, "doc_id", "left_semi").select("doc_id", "text"), whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, size long").join(some, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("size"), F.sha2("text", 256)]
-    # sizes first: the driver takes no text before it knows how many of them fit
-    sizes = np.array([r["size"] for r in rows.orderBy(*order).limit(sample).select("size").collect()], np.int64)
-    fits = int((np.cumsum(sizes) <= most_bytes).sum())
-    rows = rows.orderBy(*order).limit(fits).collect()
-    return train([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32))
+    The sample is written once; each round over it streams to the driver in an
+    order of its own, about PART_BYTES (one text at least) at a time. An id of
+    several rows counts once, by its shortest text (of equal length the first by
+    hash). Without labels or documents the network gives 0.5.
+    """
+    some = F.broadcast(sample_ids(labels, sample))
+    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(some.select("doc_id"), "doc_id", "left_semi")
+    named = rows.withColumn("name", F.struct(F.octet_length("text").alias("size"), F.sha2("text", 256).alias("hash")))
+    first = named.groupBy(F.col("doc_id").alias("of")).agg(F.min("name").alias("least"))
+    one = named.join(first, (F.col("doc_id") == F.col("of")) & (F.col("name") == F.col("least"))).dropDuplicates(["doc_id"])
+    kept = materialise(one.join(some, "doc_id").select("doc_id", "label", "text"))
+    n, share, size = kept.agg(F.count("*"), F.avg("label"), F.sum(F.octet_length("text").cast("long"))).first()
+
+    parts = parts_for(size or 0, PART_BYTES)
+
+    def stream(rounds: int):
+        if parts == 1:  # few bytes come once; their order in each round is the same as below
+            turns = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda t: F.xxhash64(t, "doc_id"))
+            held = kept.select("text", "label", turns.alias("at")).orderBy("doc_id").collect()
+            for turn in range(rounds):
+                for r in sorted(held, key=lambda r: r["at"][turn]):
+                    yield bytes(r.text), r.label
+            return
+        for turn in range(rounds):  # partitions by ranges of a hash, sorted within: one order of all
+            at = F.xxhash64(F.lit(turn), "doc_id")
+            place = F.least(F.floor((at / 2.0**64 + 0.5) * parts), F.lit(parts - 1)).cast("int")
+            dealt = kept.withColumn("at", at).repartitionById(parts, place).sortWithinPartitions("at", "doc_id")
+            for r in dealt.select("text", "label").toLocalIterator():
+                yield bytes(r.text), r.label
+
+    return train(stream, n, share or 0.0 if n else 0.5, least=least)
 
 
 def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row, over its whole text; null texts count as empty, repeated rows are scored each."""
+    """doc_id and score of every row, over its whole text; null texts count as empty, repeated rows are scored each. An empty table gives no rows; a very long text is pooled in parts."""
 
     def run(batches):
         for batch in batches:

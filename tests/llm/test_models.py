@@ -5,6 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from grainfold.llm import quality_cnn, quality_rules
 
 from . import cases
@@ -148,12 +150,31 @@ def test_cnn_cases(spark):
 
 def test_cnn_trains_on_whole_texts(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality_cnn, "train", lambda texts, y: seen.append((texts, y)))
+    monkeypatch.setattr(quality_cnn, "train", lambda stream, n, share, least: seen.append((list(stream(3)), n, share)))
+    monkeypatch.setattr(quality_cnn, "PART_BYTES", 70_000)
     texts = [f"{i} " + "long text " * 3_000 + "end" for i in range(8)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (0, "0 longer " + texts[0]), (1, texts[1])], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
     quality_cnn.fit(docs, labels)
-    quality_cnn.fit(docs, labels, most_bytes=70_000)
-    got, fewer = seen[0][0], seen[1][0]
-    assert got and all(t.decode() in texts for t in got)
-    assert fewer == got[:2] and len(seen[1][1]) == 2
+    monkeypatch.setattr(quality_cnn, "PART_BYTES", 1 << 20)
+    quality_cnn.fit(docs, labels)
+    rows, n, share = seen[0]
+    assert seen[1] == seen[0]  # the order does not depend on how much comes at a time
+    turns = [rows[i : i + n] for i in range(0, len(rows), n)]
+    assert len(turns) == 3 and all(sorted(t) == sorted(turns[0]) for t in turns) and len({tuple(t) for t in turns}) > 1
+    assert n > 3 and share == np.mean([y for _, y in turns[0]])
+    assert all(t.decode() in texts and int(t.decode()[0]) % 2 == y for t, y in turns[0])
+
+
+def test_cnn_learns_whatever_the_sizes(spark, sf_dir):
+    """A labelled text of 30 MB that comes first by hash: the others still are learned from."""
+    from grainfold.llm.labelled import sample_ids
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    first = sample_ids(labels, 1).first()["doc_id"]
+    long = docs.select("doc_id", F.when(F.col("doc_id") == first, F.repeat(F.lit("a long text of many words. "), 1_100_000)).otherwise(F.col("text")).alias("text"))
+    net = quality_cnn.fit(long, labels, least=20)
+    got = quality_cnn.score(docs, net).join(labels, "doc_id").where(F.col("doc_id") != first).collect()
+    s, y = np.array([r.score for r in got]), np.array([r.quality for r in got])
+    assert len(np.unique(s.round(6))) > 50 and (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.7
