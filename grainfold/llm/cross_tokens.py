@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ragged import RaggedTable, spans_of
-from .shared import map_arrow, materialise, table
+from .shared import map_arrow, materialise, parts_for, table
 
 #: Bytes of text of a group of documents, of a block, and of a window of a block whose ends are counted at a time.
-GROUP_BYTES, BLOCK_BYTES, WINDOW_BYTES = 16 << 20, 2 << 20, 1 << 20
+GROUP_BYTES, BLOCK_BYTES, WINDOW_BYTES = 8 << 20, 2 << 20, 1 << 20
+GROUPS_A_TASK = 4
 #: Chunks of text that a task remembers, and their characters.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 32 << 20
 #: A pair of ids is one number: id of A times this, plus id of B.
@@ -73,6 +74,8 @@ class ByteLevel:
         for t, i in vocabulary.items():
             self.pieces[i] = t.encode() if t in special else bytes(of[c] for c in t)
         self.ranked = self._ranked(written, special)
+        if self.ranked is not None:
+            self.tokenizer = None  # a copy that would not be used
 
     def _ranked(self, written: dict, special: set[str]):
         """The same vocabulary for the faster library, where ids are the ranks of the merges; else None."""
@@ -184,6 +187,12 @@ def pair_tokens(a_path: str, b_path: str) -> PairTokens:
     return PairTokens(a_path, b_path)
 
 
+@cache
+def token_lengths(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every token of both tokenizers, without keeping those."""
+    return tuple(np.array([len(p) for p in t.pieces], np.int32) for t in (ByteLevel(a_path), Pieces(b_path)))
+
+
 # --- alignment of a block ------------------------------------------------------------------------
 
 
@@ -239,10 +248,10 @@ def group_order(w: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return (*out, both[ends[0]], both[ends[1]])
 
 
-def _counted(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, ascending, and the sums of their n."""
-    kept, at = np.unique(pairs, return_inverse=True)
-    return kept, np.bincount(at, n, len(kept)).astype(np.int64)
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of all parts (pairs, counts), ascending, and the sums of their counts."""
+    kept, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return kept, np.bincount(at, np.concatenate([n for _, n in parts]), len(kept)).astype(np.int64)
 
 
 def _doc_sums(ends: np.ndarray, values: np.ndarray, doc_end: np.ndarray, into: np.ndarray) -> None:
@@ -259,21 +268,20 @@ def _doc_sums(ends: np.ndarray, values: np.ndarray, doc_end: np.ndarray, into: n
 
 
 def _first_pass(a_path: str, b_path: str, key: pa.DataType, group_bytes: int):
-    """Rows of kind doc (compressed ids of a document) and of kind pair (a group's links of an id pair)."""
+    """Rows of kind doc (the compressed ids of a block of documents) and of kind pair (a group's links of an id pair)."""
 
     def run(batches):
         enc = pair_tokens(a_path, b_path)
         enc.forget()
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         part = TaskContext.get().partitionId() << 32
         held, pairs, group = 0, [], 0
 
         def pair_rows():
-            found, n = _counted(np.concatenate([p for p, _ in pairs]), np.concatenate([n for _, n in pairs]))
+            found, n = _counted(pairs)
             for at in range(0, len(found), 1 << 16):
                 p = found[at : at + (1 << 16)]
-                m = len(p)
-                yield _rows("pair", pa.array(np.full(m, part + group)), pa.nulls(m, key), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(p), pa.array(n[at : at + m]))
+                yield _rows(len(p), key, kind=["pair"] * len(p), grp=[part + group] * len(p), pair=p, n=n[at : at + (1 << 16)])
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
@@ -288,13 +296,13 @@ def _first_pass(a_path: str, b_path: str, key: pa.DataType, group_bytes: int):
                 e = enc.encode(texts.slice(s.start, s.stop - s.start).to_pylist())
                 for w in windows(enc.a_len[e.a], enc.b_len[e.b]):
                     a, b, _ = links(w)
-                    found, n = np.unique(e.a[a].astype(np.int64) * B_IDS + e.b[b], return_counts=True)
-                    pairs.append((found, n))
+                    pairs.append(np.unique(e.a[a].astype(np.int64) * B_IDS + e.b[b], return_counts=True))
                 if len(pairs) > 32:
-                    pairs = [_counted(np.concatenate([p for p, _ in pairs]), np.concatenate([n for _, n in pairs]))]
+                    pairs = [_counted(pairs)]
                 m = s.stop - s.start
-                cut = [[None if not k else zip_.compress(ids[to - k : to].astype("<u4").tobytes()) for k, to in zip(n.tolist(), np.cumsum(n).tolist(), strict=True)] for ids, n in ((e.a, e.a_n), (e.b, e.b_n))]
-                yield _rows("doc", pa.array(np.full(m, part + group)), names.slice(s.start, m), pa.array(e.a_n), pa.array(e.b_n), *[pa.array(c, pa.binary()) for c in cut], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()))
+                listed = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), names.slice(s.start, m))
+                packed = {c: [zip_.compress(ids.astype(_id_type(n)).tobytes())] for c, ids, n in (("a", e.a, len(enc.a_len)), ("b", e.b, len(enc.b_len)))}
+                yield _rows(1, key, kind=["doc"], grp=[part + group], doc_ids=listed, n_a=[e.a_n.tolist()], n_b=[e.b_n.tolist()], **packed)
         if pairs:
             yield from pair_rows()
         enc.forget()
@@ -302,48 +310,57 @@ def _first_pass(a_path: str, b_path: str, key: pa.DataType, group_bytes: int):
     return run
 
 
-def _rows(kind: str, group, doc, a_n, b_n, a, b, pair, n) -> pa.RecordBatch:
-    names = ["kind", "grp", "doc_id", "n_a", "n_b", "a", "b", "pair", "n"]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(group)), group, doc, a_n, b_n, a, b, pair, n], names=names)
+def _id_type(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def _rows(m: int, key: pa.DataType, **given) -> pa.RecordBatch:
+    kinds = {"kind": pa.string(), "grp": pa.int64(), "doc_ids": pa.list_(key), "n_a": pa.list_(pa.int64()), "n_b": pa.list_(pa.int64()), "a": pa.binary(), "b": pa.binary(), "pair": pa.int64(), "n": pa.int64()}
+    columns = {c: given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in kinds.items()}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _second_pass(a_path: str, b_path: str, with_groups: bool):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        enc = pair_tokens(a_path, b_path)
-        docs = docs.combine_chunks()
+        a_len, b_len = token_lengths(a_path, b_path)
         pair, total, best = (known.column(c).to_numpy() for c in ("pair", "total", "best"))
         order = np.argsort(pair)
         pair, total, best = pair[order], total[order], best[order]
-        a_n, b_n = (docs.column(c).to_numpy() for c in ("n_a", "n_b"))
-        size = docs.num_rows
-        n_groups, n_links, n_best, count_sum = (np.zeros(size, np.int64) for _ in range(4))
-        written: list[str] = [""] * size
-        words = _words(len(enc.a_len), len(enc.b_len)) if with_groups else None
         unzip = zstandard.ZstdDecompressor()
-        for s in spans_of(a_n + b_n + 1, BLOCK_BYTES // 2):
-            a, b = (np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(unzip.decompress(x), "<u4") for x in docs.column(c).slice(s.start, s.stop - s.start).to_pylist() if x is not None]]) for c in ("a", "b"))
-            a_len, b_len = enc.a_len[a], enc.b_len[b]
-            a_upto, b_upto = np.cumsum(a_n[s]), np.cumsum(b_n[s])
-            doc_end = np.concatenate([[0], np.cumsum(a_len, dtype=np.int64)])[a_upto]
-            parts: dict[int, list[str]] = {}
-            for w in windows(a_len, b_len):
-                la, lb, end = links(w)
-                at = np.searchsorted(pair, a[la].astype(np.int64) * B_IDS + b[lb])
-                _doc_sums(end, np.ones(len(end), np.int64), doc_end, n_links[s])
-                _doc_sums(end, best[at].astype(np.int64), doc_end, n_best[s])
-                _doc_sums(end, total[at], doc_end, count_sum[s])
-                cuts = w.start + np.flatnonzero(w.a_ends & w.b_ends) + 1
-                _doc_sums(cuts, np.ones(len(cuts), np.int64), doc_end, n_groups[s])
-                if with_groups:
-                    _write_groups(w, a, b, len(enc.a_len), len(enc.b_len), words, doc_end, a_upto, b_upto, parts)
-            for i, strings in parts.items():
-                written[s.start + i] = "".join(strings)[:-1]
-        out = {"doc_id": docs.column("doc_id"), "n_a": a_n, "n_b": b_n, "n_groups": n_groups, "n_links": n_links, "n_best": n_best, "count_sum": count_sum}
-        return pa.table(out | ({"groups": pa.array(written, pa.large_string()).cast(pa.string())} if with_groups else {}))
+        out = []
+        for row in docs.to_batches():
+            for i in range(row.num_rows):
+                names = row.column("doc_ids").slice(i, 1).flatten()
+                n_a, n_b = (row.column(c).slice(i, 1).flatten().to_numpy() for c in ("n_a", "n_b"))
+                a, b = (np.frombuffer(unzip.decompress(row.column(c)[i].as_buffer()), _id_type(len(size))) for c, size in (("a", a_len), ("b", b_len)))
+                found = _measured(Encoded(a, n_a, b, n_b), a_len, b_len, pair, total, best, with_groups)
+                out.append(pa.table({"doc_id": names, "n_a": n_a, "n_b": n_b} | found))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _measured(e: Encoded, a_len, b_len, pair, total, best, with_groups: bool) -> dict:
+    """The columns of a block's documents; pair, ascending, with its corpus-wide total and whether it is the best of its B id."""
+    size = len(e.a_n)
+    n_groups, n_links, n_best, count_sum = (np.zeros(size, np.int64) for _ in range(4))
+    a_upto, b_upto = np.cumsum(e.a_n), np.cumsum(e.b_n)
+    doc_end = np.concatenate([[0], np.cumsum(a_len[e.a], dtype=np.int64)])[a_upto]
+    parts: dict[int, list[str]] = {}
+    for w in windows(a_len[e.a], b_len[e.b]):
+        la, lb, end = links(w)
+        at = np.searchsorted(pair, e.a[la].astype(np.int64) * B_IDS + e.b[lb])
+        _doc_sums(end, np.ones(len(end), np.int64), doc_end, n_links)
+        _doc_sums(end, best[at].astype(np.int64), doc_end, n_best)
+        _doc_sums(end, total[at], doc_end, count_sum)
+        cuts = w.start + np.flatnonzero(w.a_ends & w.b_ends) + 1
+        _doc_sums(cuts, np.ones(len(cuts), np.int64), doc_end, n_groups)
+        if with_groups:
+            _write_groups(w, e.a, e.b, len(a_len), len(b_len), _words(len(a_len), len(b_len)), doc_end, a_upto, b_upto, parts)
+    found = {"n_groups": n_groups, "n_links": n_links, "n_best": n_best, "count_sum": count_sum}
+    return found | ({"groups": pa.array(["".join(parts.get(i, ""))[:-1] for i in range(size)], pa.string())} if with_groups else {})
+
+
 @cache
 def _words(n_a: int, n_b: int) -> np.ndarray:
     """Every id as text with each mark that can follow it: A ids with , and |, B ids with , and ;"""
@@ -355,8 +372,8 @@ def _write_groups(w: Window, a, b, n_a: int, n_b: int, words, doc_end, a_upto, b
     place_a, place_b, last_a, last_b = group_order(w)
     k, m = len(place_a), len(place_b)
     code = np.empty(k + m, np.int64)
-    code[place_a] = a[w.a_from : w.a_from + k] + n_a * last_a.astype(np.int64)
-    code[place_b] = 2 * n_a + b[w.b_from : w.b_from + m] + n_b * last_b.astype(np.int64)
+    code[place_a] = n_a * last_a.astype(np.int64) + a[w.a_from : w.a_from + k]
+    code[place_b] = 2 * n_a + n_b * last_b.astype(np.int64) + b[w.b_from : w.b_from + m]
     stop = w.start + len(w.a_ends)
     first, last = np.searchsorted(doc_end, [w.start + 1, stop])
     at = 0
@@ -385,17 +402,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    shape = f"kind string, grp long, doc_id {key.simpleString()}, n_a long, n_b long, a binary, b binary, pair long, n long"
+    shape = f"kind string, grp long, doc_ids array<{key.simpleString()}>, n_a array<long>, n_b array<long>, a binary, b binary, pair long, n long"
     first = materialise(map_arrow(rows, _first_pass(a_path, b_path, to_arrow_type(key), group_bytes), shape), by="kind")
-    encoded = first.where("kind = 'doc'").select("grp", "doc_id", "n_a", "n_b", "a", "b")
+    encoded = first.where("kind = 'doc'").select("grp", "doc_ids", "n_a", "n_b", "a", "b")
     counted = first.where("kind = 'pair'").select("grp", "pair", "n")
     totals = materialise(counted.groupBy("pair").agg(F.sum("n").alias("total")))
     # one row for each id of the second vocabulary at most
     highest = totals.groupBy((F.col("pair") % B_IDS).alias("b")).agg(F.max("total").alias("highest"))
     judged = totals.join(highest, F.col("pair") % B_IDS == F.col("b")).select("pair", "total", (F.col("total") == F.col("highest")).cast("int").alias("best"))
     known = counted.drop("n").join(judged, "pair").select(F.col("grp").alias("of"), "pair", "total", "best")
+    # as many tasks as the groups need: a few groups each, at every size of the input
+    tasks = parts_for(counted.select("grp").distinct().count(), GROUPS_A_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = f"doc_id {key.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long" + ", groups string" * groups
-    return encoded.groupBy("grp").cogroup(known.groupBy("of")).applyInArrow(_second_pass(a_path, b_path, groups), out)
+    left, right = encoded.repartition(tasks, "grp"), known.repartition(tasks, "of")
+    return left.groupBy("grp").cogroup(right.groupBy("of")).applyInArrow(_second_pass(a_path, b_path, groups), out)
 
 
 def op11_batch_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
