@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, doublets, enrich, factor, graph, qc, reports, residuals, select, stockholm, windows
+from .operators import aggregate, cluster, doublets, enrich, factor, graph, leiden, qc, reports, residuals, select, stockholm, windows
 from .registry import register
 from .sources import orders
 
@@ -61,6 +61,12 @@ def communities(spark, sf_dir):
     return cluster.communities(_graph(spark, sf_dir))
 
 
+@register(QUERIES)
+def leiden_communities(spark, sf_dir):
+    """Communities of the neighbour graph by moves, refinement and contraction."""
+    return leiden.leiden(_graph(spark, sf_dir))
+
+
 @register(QUERIES)
 def polished_clusters(spark, sf_dir):
     near = graph.knn_approximate(orders.factors(spark, sf_dir), 15)
