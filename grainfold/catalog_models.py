@@ -188,6 +188,20 @@ def signature_thresholds(spark, sf_dir):
     return enrich.signature_bootstrap(m, c, g, n_controls=20).select("cell_id", F.round("threshold", 6).alias("threshold"))
 
 
+@register(QUERIES)
+def corrected_differential(spark, sf_dir):
+    """Welch tests of all pairs of batches with p and its step-up correction within the pair."""
+    m, c, g = base._load(spark, sf_dir)
+    return enrich.with_q(enrich.differential(m, c.select("cell_id", F.col("chemistry").alias("group_id")), g)).select("g1", "g2", "gene_id", "t", "df", "p", "q")
+
+
+@register(QUERIES)
+def corrected_binary_differential(spark, sf_dir):
+    m, c, g = base._load(spark, sf_dir)
+    tests = enrich.with_q(enrich.differential(m, c.select("cell_id", F.col("chemistry").alias("group_id")), g))
+    return enrich.binary_differential(tests, min_fold=1.5, min_share=0.01, min_gap=0.3, max_q=0.5)
+
+
 @register(QUERIES)
 def classified_clusters(spark, sf_dir):
     """Communities of cells; small ones reclassified, with a second label and both probabilities."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import div0
+from ..functions.tails import beta_tail, student_p
+from ..plans.storage import persist
 from .aggregate import aggregate_matrix
 
 
@@ -38,30 +39,14 @@ def trinarize(groups: DataFrame, f: float = 0.2) -> DataFrame:
     """groups(group_id, gene_id, nnz, count) with the posterior probability that at least a share f of the group expresses the gene.
 
     The prior is Beta(1.5, 2), so the posterior tail is an incomplete beta
-    function with a whole second parameter, a finite sum. Equal (nnz, count)
-    are computed once.
+    function. Equal (nnz, count) are computed once.
     """
     keys = groups.select("nnz", "count").distinct()
-    p = 1.0 - _tail(f)
-    table = keys.withColumn("p", F.greatest(F.lit(0.0), p))
+    below = beta_tail(1.5 + F.col("nnz"), 2 + F.col("count") - F.col("nnz"), f)
+    table = keys.withColumn("p", F.greatest(F.lit(0.0), 1.0 - below))
     return groups.join(table, ["nnz", "count"]).select("group_id", "gene_id", F.col("p").alias("probability"))
 
 
-def _tail(f: float) -> Column:
-    k, n = F.col("nnz"), F.col("count")
-    # I_f(1.5 + k, 2 + n - k)
-    m = (2 + n - k).cast("int")
-    a = 1.5 + k.cast("double")
-    q = 1 - f
-    total = F.aggregate(
-        F.sequence(F.lit(0), m - 1),
-        F.struct((a * F.lit(math.log(f))).alias("log_term"), F.lit(0.0).alias("total")),
-        lambda acc, j: F.struct((acc["log_term"] + F.ln((a + j) / (j + 1.0)) + F.lit(math.log(q))).alias("log_term"), (acc["total"] + F.exp(acc["log_term"])).alias("total")),
-        lambda acc: acc["total"],
-    )
-    return F.least(F.lit(1.0), total)
-
-
 def annotate(trinaries: DataFrame, genes: DataFrame, terms: DataFrame) -> DataFrame:
     """(group_id, term, posterior): the product of p for genes a term wants (+) and of 1 - p for those it excludes (-).
 
@@ -125,26 +110,54 @@ def running_scores(enrichment: np.ndarray, sets: np.ndarray) -> np.ndarray:
 
 
 def differential(matrix: DataFrame, groups: DataFrame, genes: DataFrame) -> DataFrame:
-    """Welch's t for each pair of groups (g1 < g2) and gene, with both means and shares of cells."""
+    """Welch's t for each pair of groups (g1 < g2) and gene, its degrees of freedom, and both means and shares of cells.
+
+    Without spread, or with a group of one cell, t is 0 and df null.
+    """
     s = aggregate_matrix(matrix, groups, genes, ["mean", "variance", "nnz", "count"])
     one = s.select("gene_id", F.col("group_id").alias("g1"), F.col("mean").alias("m1"), F.col("variance").alias("v1"), F.col("nnz").alias("k1"), F.col("count").alias("n1"))
     two = s.select("gene_id", F.col("group_id").alias("g2"), F.col("mean").alias("m2"), F.col("variance").alias("v2"), F.col("nnz").alias("k2"), F.col("count").alias("n2"))
     d = one.join(two, "gene_id").where("g1 < g2")
     # population to sample variance
-    se = F.sqrt(div0(F.col("v1"), F.col("n1") - 1) + div0(F.col("v2"), F.col("n2") - 1))
-    return d.select("g1", "g2", "gene_id", "m1", "m2", div0(F.col("k1"), F.col("n1")).alias("f1"), div0(F.col("k2"), F.col("n2")).alias("f2"), div0(F.col("m1") - F.col("m2"), se).alias("t"))
+    e1, e2 = div0(F.col("v1"), F.col("n1") - 1), div0(F.col("v2"), F.col("n2") - 1)
+    se = F.sqrt(e1 + e2)
+    df = F.try_divide((e1 + e2) * (e1 + e2), div0(e1 * e1, F.col("n1") - 1) + div0(e2 * e2, F.col("n2") - 1))
+    return d.select("g1", "g2", "gene_id", "m1", "m2", div0(F.col("k1"), F.col("n1")).alias("f1"), div0(F.col("k2"), F.col("n2")).alias("f2"), div0(F.col("m1") - F.col("m2"), se).alias("t"), df.alias("df"))
+
 
+def with_q(tests: DataFrame, keys: tuple[str, ...] = ("g1", "g2"), item: str = "gene_id") -> DataFrame:
+    """tests(keys, item, t, df) with p (two-sided, 1 where df is null) and q, the step-up correction of p within keys.
 
-def binary_differential(tests: DataFrame, min_t: float = 3.29, min_fold: float = 2.0, min_share: float = 0.3, min_gap: float = 0.7) -> DataFrame:
+    Tests are dealt into ranges of (keys, p): ranks and the least value from a
+    test upwards are a range's own plus what one row for each key and range adds,
+    so no task has more than a range.
+    """
+    ranges = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = tests.withColumn("p", F.coalesce(student_p(F.col("t"), F.col("df")), F.lit(1.0)))
+    d = persist(d.repartitionByRange(ranges, *keys, "p", item).withColumn("_range", F.spark_partition_id()))
+    size = d.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    of = Window.partitionBy(*keys)
+    earlier = F.coalesce(F.sum("_n").over(of.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.select(*keys, "_range", earlier.alias("_skip"), F.sum("_n").over(of).alias("_all"))
+    here = Window.partitionBy(*keys, "_range")
+    d = d.join(size, [*keys, "_range"]).withColumn("_raw", F.col("p") * F.col("_all") / (F.col("_skip") + F.row_number().over(here.orderBy("p", item))))
+    d = persist(d.withColumn("_up", F.min("_raw").over(here.orderBy(F.desc("p"), F.desc(item)).rowsBetween(Window.unboundedPreceding, 0))).drop("_raw", "_skip", "_all"))
+    later = F.min("_least").over(of.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    least = d.groupBy(*keys, "_range").agg(F.min("_up").alias("_least")).select(*keys, "_range", later.alias("_later"))
+    return d.join(least, [*keys, "_range"]).withColumn("q", F.least(F.lit(1.0), "_up", "_later")).drop("_range", "_up", "_later")
+
+
+def binary_differential(tests: DataFrame, min_t: float = 3.29, min_fold: float = 2.0, min_share: float = 0.3, min_gap: float = 0.7, max_q: float | None = None) -> DataFrame:
     """Counts of genes that are on in one group of a pair and off in the other.
 
-    Significant by |t| (the normal bound of p = 0.001), at least min_fold apart,
+    Significant by q under max_q (tests of with_q) or, without max_q, by |t|
+    (the normal bound of p = 0.001), at least min_fold apart,
     seen in min_share of the upper group, and the shares min_gap apart relative to the larger.
     """
     up = F.col("m1") >= F.col("m2")
     high, low = F.when(up, F.col("m1")).otherwise(F.col("m2")), F.when(up, F.col("m2")).otherwise(F.col("m1"))
     f_high, f_low = F.when(up, F.col("f1")).otherwise(F.col("f2")), F.when(up, F.col("f2")).otherwise(F.col("f1"))
-    on = (F.abs("t") > min_t) & (high >= min_fold * low) & (f_high > min_share) & (div0(f_high - f_low, F.greatest("f1", "f2")) > min_gap)
+    on = (F.abs("t") > min_t if max_q is None else F.col("q") < max_q) & (high >= min_fold * low) & (f_high > min_share) & (div0(f_high - f_low, F.greatest("f1", "f2")) > min_gap)
     return tests.groupBy("g1", "g2").agg(F.count_if(on).alias("n_genes"))
 
 
