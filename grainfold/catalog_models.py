@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, doublets, enrich, factor, graph, leiden, qc, reports, residuals, select, stockholm, windows
+from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, qc, reports, residuals, select, stockholm, windows
 from .registry import register
 from .sources import orders
 
@@ -67,6 +67,31 @@ def leiden_communities(spark, sf_dir):
     return leiden.leiden(_graph(spark, sf_dir))
 
 
+def _plane(spark, sf_dir):
+    f = orders.factors(spark, sf_dir)
+    return f.select("cell_id", F.col("label").alias("grp"), f.vec[0].alias("x"), f.vec[1].alias("y"))
+
+
+@register(QUERIES, """WITH RECURSIVE v AS (SELECT vec_id AS cell_id, label::BIGINT AS grp, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+near AS (SELECT a.cell_id AS a, b.cell_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS far FROM v a JOIN v b ON a.grp = b.grp WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.07::DOUBLE * 0.07::DOUBLE),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING COUNT(*) >= 6), linked AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS lead FROM core UNION SELECT linked.b, reach.lead FROM reach JOIN linked ON linked.a = reach.id), leads AS (SELECT id, MIN(lead) AS lead FROM reach GROUP BY id),
+border AS (SELECT a AS id, ARG_MIN(lead, {'far': far, 'id': b}) AS lead FROM near JOIN leads ON leads.id = b WHERE a NOT IN (SELECT id FROM core) GROUP BY a)
+SELECT cell_id, leads.id IS NOT NULL AS core, COALESCE(leads.lead, border.lead) AS leader FROM v LEFT JOIN leads ON leads.id = cell_id LEFT JOIN border ON border.id = cell_id""", prefix="")
+def density_clusters(spark, sf_dir):
+    """Density clusters of each label on two factors; a cluster is named by its least core point."""
+    found = density.dbscan(_plane(spark, sf_dir).withColumns({"eps": F.lit(0.07), "least": F.lit(6).cast("long")}))
+    lead = found.where("core").groupBy("grp", "cluster").agg(F.min("cell_id").alias("leader"))
+    return found.join(lead, ["grp", "cluster"], "left").select("cell_id", "core", "leader")
+
+
+@register(QUERIES)
+def broken_clusters(spark, sf_dir):
+    """Labels on two factors, the dispersed ones split by density."""
+    p = _plane(spark, sf_dir)
+    return density.break_clusters(p.select("cell_id", F.col("grp").alias("label")), p.select("cell_id", "x", "y"))
+
+
 @register(QUERIES)
 def polished_clusters(spark, sf_dir):
     near = graph.knn_approximate(orders.factors(spark, sf_dir), 15)
