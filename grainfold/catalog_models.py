@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, qc, reports, residuals, select, stockholm, windows
+from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, merged_pca, qc, reports, residuals, select, stockholm, windows
 from .registry import register
 from .sources import orders
 
@@ -27,6 +27,13 @@ def residuals_pca(spark, sf_dir):
     return factor.principal_components(factor.cell_vectors(r, chosen, c), 20)[0]
 
 
+@register(QUERIES)
+def merged_components(spark, sf_dir):
+    """Principal components of the positive residuals by merging partial decompositions."""
+    r, chosen, c = _positive_residuals(spark, sf_dir)
+    return merged_pca.merged_components(r, chosen, c, 20)[0]
+
+
 @register(QUERIES)
 def principal_components(spark, sf_dir):
     m, c, g = base._load(spark, sf_dir)
