@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, merged_pca, qc, reports, residuals, select, stockholm, windows
+from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, merged_pca, qc, reports, residuals, select, stockholm, umap, windows
 from .registry import register
 from .sources import orders
 
@@ -257,6 +257,12 @@ def embedding(spark, sf_dir):
     return doublets.embed(orders.factors(spark, sf_dir).select("cell_id", "vec"))
 
 
+@register(QUERIES)
+def umap_layout(spark, sf_dir):
+    """A layout of the cells by attraction along neighbour edges and sampled repulsion."""
+    return umap.umap(orders.factors(spark, sf_dir))
+
+
 @register(QUERIES)
 def poisson_glm_factors(spark, sf_dir):
     from .operators import glmpca
