@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table, text_or_empty
+from .shared import join_by_count, materialise, table, text_or_empty
 from .spans import matches, render
 
 #: Kinds in the order in which spans at one place are listed, with pattern and group of the value.
@@ -77,13 +77,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     # a bare token that touches a base span is that span's, not a new one
     found = found.withColumn("bare", F.filter("bare", lambda b: ~F.exists("spans", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
     hit = found.where((F.size("spans") > 0) | (F.size("bare") > 0))
-    each = hit.select("row", "owner", "repo", F.explode(F.concat("spans", "bare")).alias("s"))
+    each = hit.select("row", "owner", "repo", F.explode(F.concat("spans", "bare")).alias("s")).withColumn("hash", F.col("s.hash"))
     # first by hash, repository and owner, so that a value copied everywhere is a few rows before it is counted
-    seen = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repo").agg(F.max(F.col("s.kind") != "owned").alias("known"), F.max("s.strong").alias("strong"))
-    owners = seen.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("known").alias("known"), F.max("strong").alias("strong"))
-    values = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("known").alias("known"), F.max("strong").alias("strong"))
+    seen = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"), F.max(F.col("s.kind") != "owned").alias("known"), F.max("s.strong").alias("strong"))
+    owners = seen.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.max("known").alias("known"), F.max("strong").alias("strong"))
+    values = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n"), F.max("known").alias("known"), F.max("strong").alias("strong"))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & (F.col("known") | F.col("strong"))
-    judged = each.join(values.select("hash", live.alias("live"), "n_owners", "n_repos"), each["s.hash"] == values["hash"])
+    values = materialise(values.select("hash", live.alias("live"), "n_owners", "n_repos", "n"))
+    judged = join_by_count(each, values, "hash")
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("s.kind") == "owned") & F.col("live"), F.col("s"))).alias("owned"),
         F.count_if((F.col("s.kind") != "owned") & F.col("live")).alias("n_live"),

@@ -57,6 +57,19 @@ def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_or_empty(column)).cast("long"))).first()[0] or 0
 
 
+def join_by_count(rows: DataFrame, values: DataFrame, key: str, *, share: float = 0.001, least: int = 500) -> DataFrame:
+    """rows joined with values, which has one row for each key with n, the number of rows of that key.
+
+    Keys of more than `share` of all rows (and more than `least`) are 1 / share at
+    most, so they go to every task and their rows stay where they are; the rows
+    of all other keys are shuffled, no key more than that share of them.
+    """
+    often = max(least, share * (values.agg(F.sum("n")).first()[0] or 0))
+    hot, cold = values.where(F.col("n") > often).drop("n"), values.where(F.col("n") <= often).drop("n")
+    kept = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(kept.join(cold.hint("shuffle_hash"), key))
+
+
 def parts_for(n_bytes: int, each: int, least: int = 1) -> int:
     """How many groups of about `each` bytes hold n_bytes."""
     return max(least, -(-int(n_bytes) // each))

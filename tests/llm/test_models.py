@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
 from pyspark.sql import functions as F
 
 from grainfold.llm import quality_cnn, quality_rules

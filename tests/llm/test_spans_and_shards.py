@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainfold.llm import pseudonyms, secret_scan, sharding
 
@@ -176,3 +177,15 @@ def test_shard_weights_move_only_what_changes(spark):
     rows = keys.select(sharding.place(F.col("k"), tree).alias("a"), sharding.place(F.col("k"), heavier).alias("b")).where("a <> b").collect()
     assert rows and all(r.b in (4, 5, 6, 7) for r in rows)  # towards the region whose weight grew
     assert sharding.shard_rows(cases.frame(spark, []), tree).count() == 0
+
+
+def test_join_by_count_keeps_all_rows(spark):
+    """One key holds half the rows: it goes round the shuffle, and the rows are those of a plain join."""
+    from grainfold.llm.shared import join_by_count
+
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 50}") for i in range(3000)], "id long, k string").repartition(3)
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    plain = rows.join(values, "k").select("id", "k", "last")
+    for least in (10, 10_000):
+        got = join_by_count(rows, values, "k", least=least)
+        assert sorted(map(tuple, got.select("id", "k", "last").collect())) == sorted(map(tuple, plain.collect()))
