@@ -471,7 +471,8 @@ def remove_repeats(docs: DataFrame, *, digest: bool = False, counts: bool = True
     count as empty, null ids come after all others, and rows of one id do not
     take from each other. Rows are dealt by id and text, so only rows equal in
     both meet in a task for sure. Windows are compared by their bytes; a group
-    tells its own phrases apart by 64-bit names. An empty table gives no rows. Columns of docs with the
+    tells its own phrases apart by 64-bit names. A very long text is in one group,
+    whose task holds it whole. An empty table gives no rows. Columns of docs with the
     names of the counts give way to them, unless counts=False leaves the counts out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -247,8 +247,11 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", report: s
     """docs with text_col rewritten and a column `report`: array<struct<kind, value>> of what was replaced.
 
     A null text stays null; its report is empty. Candidates that fail validation stay
-    as they are. Values found twice in a text are replaced twice. A column of
-    docs with the name of the report gives way to it.
+    as they are. Values found twice in a text are replaced twice; candidates that
+    overlap are taken from the left, the first listed kind of those at one place.
+    Repeated rows each get the same text, a very long text is rewritten in the row
+    that holds it, an empty table gives no rows. A column of docs with the name of
+    the report gives way to it.
     """
     pii = "array<struct<kind:string,value:string>>"
     text = text_or_empty(text_col)

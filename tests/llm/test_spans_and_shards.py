@@ -189,3 +189,40 @@ def test_join_by_count_keeps_all_rows(spark):
     for least in (10, 10_000):
         got = join_by_count(rows, values, "k", least=least)
         assert sorted(map(tuple, got.select("id", "k", "last").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def luhn(digits):
+    total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_pseudonyms_of_the_whole_table(spark, sf_dir):
+    """Found again without the operator: only reported values change, each to one other value, no two to the same; plain cards and dates are all reported."""
+    import datetime
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs.select("doc_id", "text"), pseudonyms.DEMO_KEY).collect()}
+    new_of, old_of, seen = {}, {}, Counter()
+    for r in docs.select("doc_id", "text").collect():
+        found, pattern, at = got[r.doc_id].pii, "", 0
+        for v in found:
+            to = r.text.index(v["value"], at)
+            pattern += re.escape(r.text[at:to]) + "(.+?)"
+            at = to + len(v["value"])
+        m = re.fullmatch(pattern + re.escape(r.text[at:]), got[r.doc_id].text, re.DOTALL)
+        assert m
+        for v, new in zip(found, m.groups(), strict=True):
+            old = v["value"].lower() if v["kind"] == "email" else v["value"]
+            assert new_of.setdefault((v["kind"], old), new) == new and old_of.setdefault((v["kind"], new), old) == old
+            seen[v["kind"]] += 1
+            if re.fullmatch(r"\d{16}", old):
+                assert luhn(old) and luhn(new) and len(new) == 16
+        values = {v["value"] for v in found}
+        assert {c for c in re.findall(r"(?<![\w.+-])\d{16}(?![\w.+-])", r.text) if luhn(c)} <= values
+        for y, mo, d in re.findall(r"(?<![\w.+/-])(1[89]\d\d|2[01]\d\d)-(\d\d)-(\d\d)(?![\w.+/-])", r.text):
+            try:
+                datetime.date(int(y), int(mo), int(d))
+            except ValueError:
+                continue
+            assert f"{y}-{mo}-{d}" in values
+    assert len(got) == docs.count() and sum(seen.values()) > 10
