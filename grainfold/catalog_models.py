@@ -263,6 +263,17 @@ def umap_layout(spark, sf_dir):
     return umap.umap(orders.factors(spark, sf_dir))
 
 
+@register(QUERIES, """WITH v AS (SELECT vec_id AS cell_id, label::DOUBLE AS level, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), e AS (SELECT MIN(level) AS low, MAX(level) AS high FROM v),
+r AS (SELECT cell_id, x, y, SQRT(x * x + y * y) AS radius, 0.6::DOUBLE + 0.35::DOUBLE * (cell_id * 7919 % 1000)::DOUBLE / 1000::DOUBLE AS f, 0.5::DOUBLE * (level - low) / (high - low) AS target FROM v CROSS JOIN e)
+SELECT cell_id, ROUND(x * (f * target + (1 - f) * radius) / radius, 6) AS x, ROUND(y * (f * target + (1 - f) * radius) / radius, 6) AS y FROM r""", prefix="")
+def pulled_places(spark, sf_dir):
+    """Places on two factors pulled towards radii by label."""
+    p = _plane(spark, sf_dir)
+    force = 0.6 + 0.35 * (F.col("cell_id") * 7919 % 1000) / 1000.0
+    out = umap.pull_towards_levels(p, p.select("cell_id", F.col("grp").alias("level")), force=force)
+    return out.select("cell_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @register(QUERIES)
 def poisson_glm_factors(spark, sf_dir):
     from .operators import glmpca

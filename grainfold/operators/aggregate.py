@@ -76,3 +76,12 @@ def one_hot(df: DataFrame, column: str, out: str = "one_hot") -> DataFrame:
     places = F.when(F.col("_last") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_last") - 1)).otherwise(F.array().cast("array<bigint>"))
     d = df.join(codes, column).crossJoin(last)
     return d.withColumn(out, F.transform(places, lambda i: (i == F.col("_code")).cast("int"))).drop("_code", "_last")
+
+
+def require_aligned(left: DataFrame, right: DataFrame, key: str) -> None:
+    """An error unless both have the same keys, each once; one aggregate over both, of which three numbers come back."""
+    sides = left.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(F.col(key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    each = sides.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    found = each.agg(F.count_if(F.col("r") == 0).alias("left"), F.count_if(F.col("l") == 0).alias("right"), F.count_if((F.col("l") > 1) | (F.col("r") > 1)).alias("twice")).first()
+    if any(found):
+        raise ValueError(f"rows do not align by {key}: {found.left} keys only on the left, {found.right} only on the right, {found.twice} repeated")

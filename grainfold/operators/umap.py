@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import persist
+from .aggregate import require_aligned
 from .graph import knn_approximate
 
 #: Cells of a part, cells drawn for it in a round, negatives of an edge, steps of a round.
@@ -193,3 +194,20 @@ def umap(factors: DataFrame, *, k: int = 15, min_dist: float = 0.1, rounds: int
         return factors.select("cell_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     near = knn_approximate(factors, k)
     return layout(fuzzy_graph(near), _start(factors), min_dist=min_dist, rounds=rounds)
+
+
+def pull_towards_levels(places: DataFrame, levels: DataFrame, *, least: float = 0.6, most: float = 0.95, force: Column | None = None) -> DataFrame:
+    """(cell_id, x, y) of places moved along their rays towards a radius by level: the lowest to 0, the highest to a half.
+
+    levels(cell_id, level) has each cell of places once. Each cell goes a share of
+    the way, between least and most by a hash of its id, or by the column force.
+    A cell at the origin stays; where all levels are equal the radius is 0.
+    """
+    require_aligned(places, levels, "cell_id")
+    low, high = levels.agg(F.min("level"), F.max("level")).first()
+    if force is None:
+        force = least + (most - least) * F.pmod(F.xxhash64("cell_id"), F.lit(1 << 20)) / float(1 << 20)
+    radius = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    target = 0.5 * (F.col("level") - F.lit(low)) / F.lit(float(high - low)) if low is not None and high > low else F.lit(0.0)
+    factor = F.coalesce(F.try_divide(force * target + (1 - force) * radius, radius), F.lit(1.0))
+    return places.select("cell_id", "x", "y").join(levels.select("cell_id", "level"), "cell_id").select("cell_id", (F.col("x") * factor).alias("x"), (F.col("y") * factor).alias("y"))

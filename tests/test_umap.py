@@ -53,3 +53,15 @@ def test_neighbours_are_preserved(spark, monkeypatch, parts):
     if parts == 1:
         assert umap.umap(factors.limit(0)).count() == 0
         assert [(v.x, v.y) for v in umap.umap(factors.where(F.col("cell_id") == 3)).collect()] == [(0.0, 0.0)]
+
+
+def test_pull_and_alignment(spark):
+    places = spark.createDataFrame([(1, 0.3, 0.4), (2, 0.0, -2.0), (3, 0.0, 0.0)], "cell_id long, x double, y double")
+    levels = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 7.0)], "cell_id long, level double")
+    got = {r.cell_id: (r.x, r.y) for r in umap.pull_towards_levels(places, levels, force=F.lit(0.5)).collect()}
+    assert got[1] == pytest.approx((0.15, 0.2)) and got[2] == pytest.approx((0.0, -1.25)) and got[3] == (0.0, 0.0)
+    by_hash = {r.cell_id: np.hypot(r.x, r.y) for r in umap.pull_towards_levels(places, levels).collect()}
+    assert 0.5 * 0.05 <= by_hash[1] <= 0.5 * 0.4 and by_hash[3] == 0
+    for bad in ([(1, 5.0), (2, 9.0)], [(1, 5.0), (2, 9.0), (3, 7.0), (4, 1.0)], [(1, 5.0), (2, 9.0), (3, 7.0), (3, 7.0)]):
+        with pytest.raises(ValueError, match="align"):
+            umap.pull_towards_levels(places, spark.createDataFrame(bad, "cell_id long, level double"))
