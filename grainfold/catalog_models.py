@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_matrix as base
-from .operators import aggregate, cluster, density, doublets, enrich, factor, graph, leiden, merged_pca, qc, reports, residuals, select, stockholm, umap, windows
+from .operators import aggregate, cluster, density, doublets, enrich, factor, genome, graph, leiden, merged_pca, qc, reports, residuals, select, stockholm, umap, windows
 from .registry import register
 from .sources import orders
 
@@ -128,6 +128,13 @@ def dendrogram(spark, sf_dir):
     return spark.createDataFrame([(i, *x) for i, x in enumerate(linkage)], "step int, left int, right int, dist double, size int")
 
 
+@register(QUERIES)
+def ordered_clusters(spark, sf_dir):
+    """The clusters' numbers in the optimal order of the leaves."""
+    _, ids, linkage, _ = _tree(spark, sf_dir)
+    return spark.createDataFrame([(ids[i], place) for place, i in enumerate(cluster.leaves(linkage))], "cluster_id long, place long")
+
+
 @register(QUERIES)
 def cut_dendrogram(spark, sf_dir):
     _, ids, linkage, c = _tree(spark, sf_dir)
@@ -191,6 +198,26 @@ def copy_numbers(spark, sf_dir):
     return cluster.viterbi(k.join(g.select("gene_id", "start"), "gene_id").select("group_id", "gene_id", "start", "ploidy"), ["group_id"], "start", "ploidy")
 
 
+def _hmm_karyotype(spark, sf_dir):
+    """Cells against the mean profiles of the clusters, those of one half of the clusters as the first source."""
+    m, c, g = base._load_once(spark, sf_dir)
+    means = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean"])
+    references = means.select((F.col("group_id") % 2).alias("source"), F.col("group_id").alias("ref"), "gene_id", "mean")
+    return genome.hmm_karyotype(m, c, g, references)
+
+
+@register(QUERIES)
+def hmm_karyotype_cells(spark, sf_dir):
+    """Best reference, metacell, place in the order of metacells and components of every cell, from its ploidies along the genome."""
+    return _hmm_karyotype(spark, sf_dir).cells
+
+
+@register(QUERIES)
+def hmm_karyotype_metacells(spark, sf_dir):
+    """Median ploidy and decoded copy number of every metacell at every housekeeping gene."""
+    return _hmm_karyotype(spark, sf_dir).metacells
+
+
 @register(QUERIES)
 def report_karyotype(spark, sf_dir):
     """Ploidies and copy numbers by group and gene with the side of the groups' top split."""
