@@ -198,24 +198,15 @@ def copy_numbers(spark, sf_dir):
     return cluster.viterbi(k.join(g.select("gene_id", "start"), "gene_id").select("group_id", "gene_id", "start", "ploidy"), ["group_id"], "start", "ploidy")
 
 
-def _hmm_karyotype(spark, sf_dir):
-    """Cells against the mean profiles of the clusters, those of one half of the clusters as the first source."""
+@register(QUERIES)
+def hmm_karyotype(spark, sf_dir):
+    """Best reference, metacell and place of every cell, with the genes that its metacell has gained and lost, from ploidies against the clusters' mean profiles."""
     m, c, g = base._load_once(spark, sf_dir)
     means = aggregate.aggregate_matrix(m, base._clusters(c), g, ["mean"])
     references = means.select((F.col("group_id") % 2).alias("source"), F.col("group_id").alias("ref"), "gene_id", "mean")
-    return genome.hmm_karyotype(m, c, g, references)
-
-
-@register(QUERIES)
-def hmm_karyotype_cells(spark, sf_dir):
-    """Best reference, metacell, place in the order of metacells and components of every cell, from its ploidies along the genome."""
-    return _hmm_karyotype(spark, sf_dir).cells
-
-
-@register(QUERIES)
-def hmm_karyotype_metacells(spark, sf_dir):
-    """Median ploidy and decoded copy number of every metacell at every housekeeping gene."""
-    return _hmm_karyotype(spark, sf_dir).metacells
+    found = genome.hmm_karyotype(m, c, g, references)
+    changed = found.metacells.groupBy("metacell").agg(F.count_if(F.col("state") > 2).alias("gained"), F.count_if(F.col("state") < 2).alias("lost"))
+    return found.cells.join(changed, "metacell").select("cell_id", "reference", "metacell", "place", "gained", "lost")
 
 
 @register(QUERIES)
