@@ -36,14 +36,18 @@ def principal_components(vectors: DataFrame, k: int, standardise: bool = False)
 
     The components come from Spark ML; scores are centred with the column means,
     which its transform leaves out. If the components together explain over
-    half, those up to the one that passes half are kept, one at least.
+    half, those up to the one that passes half are kept, one at least. Vectors
+    of no numbers have no components: every cell has empty factors.
     """
     vectors = persist(vectors)
+    first = vectors.first()
+    size = len(first["vector"].toArray()) if first else 0
+    if not size:
+        return vectors.select("cell_id", F.array().cast("array<double>").alias("factors")), []
     if standardise:
         from pyspark.ml.feature import StandardScaler
 
         vectors = persist(StandardScaler(withMean=False, withStd=True, inputCol="vector", outputCol="_s").fit(vectors).transform(vectors).select("cell_id", F.col("_s").alias("vector")))
-    size = len(vectors.first()["vector"].toArray())
     model = PCA(k=min(k, size), inputCol="vector", outputCol="_f").fit(vectors)
     mean = vectors.select(Summarizer.mean(F.col("vector")).alias("m")).first()["m"].toArray()
     shift = (model.pc.toArray().T @ mean).tolist()
