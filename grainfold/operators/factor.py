@@ -94,53 +94,57 @@ def poisson_factors(matrix: DataFrame, k: int, *, iterations: int = 100, toleran
 
     Each half step joins the non-zeros with the current expectations of both
     sides and sums the responsibilities by one of them; the other side's total
-    rate is one small row. State is a table of k numbers an item. Every tenth
+    rate is one small row. The matrix is written once; state is a table of 2 k numbers an item. Every tenth
     round, from the tenth on, the log likelihood of the non-zeros is taken; it ends
     when that changes by less than the share `tolerance`, or after `iterations`.
     """
-    cells = matrix.select("cell_id").distinct()
-    genes = matrix.select("gene_id").distinct()
+    matrix = persist(matrix.select("cell_id", "gene_id", "n"))
+    means, logs, shares = ([f"{c}{j}" for j in range(k)] for c in ("mean", "log", "r"))
 
-    def start(df, key, salt):
-        noise = F.array(*[F.abs(F.xxhash64(key, F.lit(salt), F.lit(j)) % 1000) / 1000.0 + 0.5 for j in range(k)])
-        return persist(df.select(key, noise.alias("mean"), F.transform(noise, lambda x: F.ln(x)).alias("log")))
+    def start(key, salt):
+        d = matrix.select(key).distinct()
+        noise = [F.abs(F.xxhash64(key, F.lit(salt), F.lit(j)) % 1000) / 1000.0 + 0.5 for j in range(k)]
+        return persist(d.select(key, *[x.alias(c) for x, c in zip(noise, means, strict=True)], *[F.ln(x).alias(c) for x, c in zip(noise, logs, strict=True)]))
 
-    theta, beta = start(cells, "cell_id", seed), start(genes, "gene_id", seed + 1)
+    theta, beta = start("cell_id", seed), start("gene_id", seed + 1)
 
-    def half(side, other, key, other_key, shape, rate):
-        total = F.broadcast(other.agg(F.array(*[F.sum(F.element_at("mean", j + 1)) for j in range(k)]).alias("total")))
-        x = matrix.join(side.select(key, F.col("log").alias("l1")), key).join(other.select(other_key, F.col("log").alias("l2")), other_key)
-        w = F.transform(F.zip_with("l1", "l2", lambda p, q: p + q), lambda v: F.exp(v))
-        x = x.select(key, "n", w.alias("w"))
-        x = x.select(key, *[(F.col("n") * F.element_at("w", j + 1) / F.aggregate("w", F.lit(1e-300), lambda t, v: t + v)).alias(f"r{j}") for j in range(k)])
-        got = x.groupBy(key).agg(*[F.sum(f"r{j}").alias(f"r{j}") for j in range(k)])
-        got = got.join(side.select(key, F.aggregate("mean", F.lit(0.0), lambda t, v: t + v).alias("m")), key).crossJoin(total)
+    def ends(columns):
+        """The non-zeros with these columns of the cell (a0, a1, ...) and of the gene (b0, b1, ...)."""
+        one = theta.select("cell_id", *[F.col(c).alias(f"a{j}") for j, c in enumerate(columns)])
+        two = beta.select("gene_id", *[F.col(c).alias(f"b{j}") for j, c in enumerate(columns)])
+        return matrix.join(one, "cell_id").join(two, "gene_id")
+
+    def half(side, other, key, shape, rate):
+        total = F.broadcast(other.agg(*[F.sum(c).alias(f"t{j}") for j, c in enumerate(means)]))
+        x = ends(logs).select(key, "n", *[F.exp(F.col(f"a{j}") + F.col(f"b{j}")).alias(f"w{j}") for j in range(k)])
+        x = x.withColumn("per", F.col("n") / sum((F.col(f"w{j}") for j in range(k)), F.lit(1e-300)))
+        got = x.groupBy(key).agg(*[F.sum(F.col("per") * F.col(f"w{j}")).alias(c) for j, c in enumerate(shares)])
+        got = got.join(side.select(key, sum((F.col(c) for c in means), F.lit(0.0)).alias("m")), key).crossJoin(total)
 
         def update(batches):
             for p in batches:
-                g = shape + p[[f"r{j}" for j in range(k)]].to_numpy()
+                g = shape + p[shares].to_numpy()
                 xi = (shape * k) / (rate + p["m"].to_numpy())
-                t = np.stack(p["total"].to_numpy()) if len(p) else np.zeros((0, k))
-                r = xi[:, None] + t
-                yield p[[key]].assign(mean=list(g / r), log=list(_digamma(g) - np.log(r)))
+                r = xi[:, None] + p[[f"t{j}" for j in range(k)]].to_numpy()
+                yield pd.concat([p[[key]], pd.DataFrame(np.hstack([g / r, _digamma(g) - np.log(r)]), columns=means + logs, index=p.index)], axis=1)
 
-        return persist(got.mapInPandas(update, f"{key} long, mean array<double>, log array<double>"))
+        return persist(got.mapInPandas(update, f"{key} long, " + ", ".join(f"{c} double" for c in means + logs)))
 
     def likelihood() -> float:
-        x = matrix.join(theta.select("cell_id", F.col("mean").alias("m1")), "cell_id").join(beta.select("gene_id", F.col("mean").alias("m2")), "gene_id")
-        rate = F.aggregate(F.zip_with("m1", "m2", lambda p, q: p * q), F.lit(1e-300), lambda t, v: t + v)
-        return x.agg(F.sum(F.col("n") * F.ln(rate) - rate)).first()[0] or 0.0
+        rate = sum((F.col(f"a{j}") * F.col(f"b{j}") for j in range(k)), F.lit(1e-300))
+        return ends(means).agg(F.sum(F.col("n") * F.ln(rate) - rate)).first()[0] or 0.0
 
     last = None
     for turn in range(iterations):
-        theta = half(theta, beta, "cell_id", "gene_id", a, b)
-        beta = half(beta, theta, "gene_id", "cell_id", c, d)
+        theta = half(theta, beta, "cell_id", a, b)
+        beta = half(beta, theta, "gene_id", c, d)
         if turn % 10 == 9:
             now = likelihood()
             if last is not None and abs(now - last) <= tolerance * abs(last):
                 break
             last = now
-    return theta.select("cell_id", F.col("mean").alias("theta")), beta.select("gene_id", F.col("mean").alias("beta"))
+    whole = F.array(*means)
+    return theta.select("cell_id", whole.alias("theta")), beta.select("gene_id", whole.alias("beta"))
 
 
 def harmonise(factors: DataFrame, batches: DataFrame, *, clusters: int = 10, rounds: int = 5, sigma: float = 0.1, penalty: float = 1.0, ridge: float = 1.0, seed: int = 1) -> DataFrame:
