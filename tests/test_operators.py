@@ -432,3 +432,34 @@ def test_one_hot_and_thresholds(spark):
     scores = spark.createDataFrame([(1, "s", 2.0), (2, "s", 0.5)], "cell_id long, set_name string, score double")
     over = spark.createDataFrame([(1, 1.0), (2, 1.0)], "cell_id long, threshold double")
     assert [r.cell_id for r in reports.capped_scores(scores, bootstrap=over).collect()] == [1]
+
+
+def test_balance_is_the_greedy_rule_to_the_end(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, int(j), float(r.integers(1, 9))) for i in range(30) for j in r.permutation(30)[:18] if i != j]
+    for k, most in ((1, 2), (4, 3)):
+        left, have, used, want = sorted((s, d, t) for s, t, d in rows), {}, {}, set()
+        while offers := {s: (d, s, t) for s, d, t in reversed(left) if have.get(s, 0) < k}:
+            for d, s, t in sorted(offers.values()):
+                if used.get(t, 0) < most:
+                    want.add((s, t, d))
+                    used[t], have[s] = used.get(t, 0) + 1, have.get(s, 0) + 1
+            left = [e for e in left if e[0] not in offers or (offers[e[0]][2] != e[2])]
+        got = graph.balance(spark.createDataFrame(rows, "src long, dst long, dist double"), k, most)
+        assert {tuple(e) for e in got.select("src", "dst", "dist").collect()} == want
+    none = spark.createDataFrame([], "src long, dst long, dist double")
+    assert graph.balance(none, 2, 2).count() == 0
+
+
+def test_approximate_neighbours_that_meet_in_part(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((900, 12)) + 3 * r.standard_normal((9, 12))[r.integers(0, 9, 900)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    exact = {(e.src, e.dst) for e in graph.knn(d, 20).collect()}
+    monkeypatch.setattr(graph, "MET", 8)
+    near = graph.knn_approximate(d, 20, block=120).collect()
+    assert len(near) == len({(e.src, e.dst) for e in near}) == 18000 and all(e.src != e.dst for e in near)
+    assert len(exact & {(e.src, e.dst) for e in near}) > 0.9 * len(exact)
+    same = spark.createDataFrame([(i, [float(i >= 500), 1 / 3]) for i in range(510)], "cell_id long, vec array<double>")
+    got = graph.knn_approximate(same, 4, block=50).collect()
+    assert len(got) == 2040 and all(e.dist == 0 and (e.src >= 500) == (e.dst >= 500) for e in got)
