@@ -31,13 +31,13 @@ def cell_vectors(values: DataFrame, selected: DataFrame, cells: DataFrame, colum
     return every.select("cell_id", array_to_vector(dense("i", "v")).alias("vector"))
 
 
-def principal_components(vectors: DataFrame, k: int, standardise: bool = False) -> tuple[DataFrame, list[float]]:
+def principal_components(vectors: DataFrame, k: int, standardise: bool = False, half: bool = True) -> tuple[DataFrame, list[float]]:
     """(cell_id, factors) and the explained share of each component.
 
     The components come from Spark ML; scores are centred with the column means,
     which its transform leaves out. If the components together explain over
-    half, those up to the one that passes half are kept, one at least. Vectors
-    of no numbers have no components: every cell has empty factors.
+    half, those up to the one that passes half are kept, one at least; all are
+    without `half`. Vectors of no numbers have no components: every cell has empty factors.
     """
     vectors = persist(vectors)
     first = vectors.first()
@@ -54,7 +54,7 @@ def principal_components(vectors: DataFrame, k: int, standardise: bool = False)
     share = model.explainedVariance.toArray().tolist()
     keep = len(share)
     total = np.cumsum(share)
-    if total[-1] > 0.5:
+    if half and total[-1] > 0.5:
         keep = max(1, int(np.argmax(total > 0.5)) + 1)
     scores = model.transform(vectors).select("cell_id", vector_to_array("_f").alias("f"))
     centred = F.zip_with("f", F.array(*[F.lit(s) for s in shift]), lambda a, b: a - b)
