@@ -81,25 +81,43 @@ def gene_set_score(groups: DataFrame, members: DataFrame) -> DataFrame:
 def gene_set_p(groups: DataFrame, members: DataFrame, *, permutations: int = 1000, seed: int = 1) -> DataFrame:
     """(group_id, set_name, score, p): gene_set_score and the share of permuted sets of the same size that reach it.
 
-    A group and a set are one task's work: one number a gene, and 50 permutations at a time.
+    A group and a set are one task's work: one number a gene, and one random set of them at a time.
     """
     every = groups.select("group_id", "gene_id", "enrichment").crossJoin(members.select("set_name").distinct())
     d = every.join(members.select("set_name", "gene_id", F.lit(True).alias("hit")).distinct(), ["set_name", "gene_id"], "left")
+    d = d.select("group_id", "set_name", "gene_id", "enrichment", F.coalesce("hit", F.lit(False)).alias("hit"))
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gene_id")
-        e, hit = pdf["enrichment"].to_numpy(float), pdf["hit"].notna().to_numpy()
-        name, group = pdf["set_name"].iloc[0], pdf["group_id"].iloc[0]
+    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf["gene_id"].to_numpy().argsort(kind="stable")
+        e, hit = pdf["enrichment"].to_numpy(float)[order], pdf["hit"].to_numpy(bool)[order]
+        group, name = key
         r = np.random.default_rng([seed, zlib.crc32(f"{group}:{name}".encode())])
-        score = running_scores(e, hit[None])[0]
-        null = [running_scores(e, r.permuted(np.tile(hit, (min(50, permutations - a), 1)), axis=1)) for a in range(0, permutations, 50)]
-        p = 1 - np.searchsorted(np.sort(np.concatenate(null)), score) / permutations
+        score = running_score(e, np.flatnonzero(hit))
+        null = np.array([running_score(e, r.choice(len(e), int(hit.sum()), replace=False, shuffle=False)) for _ in range(permutations)])
+        p = 1 - np.searchsorted(np.sort(null), score) / permutations
         return pd.DataFrame({"group_id": [group], "set_name": [name], "score": [score], "p": [p]})
 
     shape = f"group_id {groups.schema['group_id'].dataType.simpleString()}, set_name string, score double, p double"
     return d.groupBy("group_id", "set_name").applyInPandas(test, shape)
 
 
+def running_score(enrichment: np.ndarray, members: np.ndarray) -> float:
+    """The running-sum score of the set of the genes at these places.
+
+    The sum falls from gene to gene outside the set and rises at its members, so only those are looked at, unless a number is below 0.
+    """
+    hit = np.zeros(len(enrichment), bool)
+    hit[members] = True
+    at = np.flatnonzero(hit)
+    inside = np.cumsum(enrichment[at])
+    if not len(at) or not inside[-1] > 0 or enrichment.min() < 0:
+        return running_scores(enrichment, hit[None])[0]
+    outside = (at - np.arange(len(at))).astype(float)
+    if len(at) < len(hit):
+        outside /= len(hit) - len(at)
+    return (inside / inside[-1] - outside).max()
+
+
 def running_scores(enrichment: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """The running-sum score of each row of sets, true where a gene belongs."""
     inside, outside = np.cumsum(enrichment * sets, axis=1), np.cumsum(~sets, axis=1, dtype=float)
