@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,10 @@ def topics(counts: DataFrame, k: int, *, vocabulary: int = 2_000, iterations: in
     """Latent topics of a count table (cell_id, token, n): (cell_id, topics) and (topic, token, weight) of the top tokens."""
     top = counts.groupBy("token").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "token").limit(vocabulary)
     words = persist(top.select("token").orderBy("token").withColumn("gene_id", F.monotonically_increasing_id()).select("token", F.dense_rank().over(_order("token")).alias("rank")))
-    v = persist(cell_vectors(counts.join(F.broadcast(words), "token").select("cell_id", F.col("rank").alias("gene_id"), "n"), words.select(F.col("rank").alias("gene_id"), "rank"), counts.select("cell_id").distinct(), "n"))
+    size = words.count()
+    sparse = F.udf(lambda e: SparseVector(size, [(x["i"], x["v"]) for x in e or []]), VectorUDT())
+    per = counts.join(F.broadcast(words), "token").groupBy("cell_id").agg(F.collect_list(F.struct((F.col("rank") - 1).cast("int").alias("i"), F.col("n").cast("double").alias("v"))).alias("e"))
+    v = persist(counts.select("cell_id").distinct().join(per, "cell_id", "left").select("cell_id", sparse("e").alias("vector")))
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="vector", optimizer="online").fit(v)
     of = model.transform(v).select("cell_id", vector_to_array("topicDistribution").alias("topics"))
     named = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "t"))

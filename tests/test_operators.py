@@ -463,3 +463,16 @@ def test_approximate_neighbours_that_meet_in_part(spark, monkeypatch):
     same = spark.createDataFrame([(i, [float(i >= 500), 1 / 3]) for i in range(510)], "cell_id long, vec array<double>")
     got = graph.knn_approximate(same, 4, block=50).collect()
     assert len(got) == 2040 and all(e.dist == 0 and (e.src >= 500) == (e.dst >= 500) for e in got)
+
+
+def test_topics_take_sparse_vectors(spark, monkeypatch):
+    """Before, every document went to the model as a dense vector of the vocabulary."""
+    from pyspark.ml.linalg import SparseVector
+
+    seen = []
+    model = factor.LDA
+    monkeypatch.setattr(factor, "LDA", lambda **kw: type("Model", (), {"fit": lambda _, v: seen.extend(v.collect()) or model(**kw).fit(v)})())
+    counts = spark.createDataFrame([(0, "a", 2), (0, "c", 1), (1, "b", 3), (2, "a", 1)], "cell_id long, token string, n long")
+    assert factor.topics(counts, 2, iterations=2)[0].count() == 3
+    assert all(isinstance(r.vector, SparseVector) for r in seen)
+    assert {r.cell_id: r.vector.toArray().tolist() for r in seen} == {0: [2, 0, 1], 1: [0, 3, 0], 2: [1, 0, 0]}
