@@ -21,7 +21,7 @@ def broadcasts(df):
                 yield below
 
 
-@pytest.mark.parametrize("query", ["copy_numbers"])
+@pytest.mark.parametrize("query", ["copy_numbers", "smoothed_karyotype"])
 def test_genes_are_not_broadcast(spark, sf_dir, query):
     assert not [b for b in broadcasts(getattr(catalog_models, query)(spark, sf_dir)) if "p_partkey" in b]
 
