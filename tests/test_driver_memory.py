@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from grainfold import catalog_models
+from grainfold import catalog_matrix, catalog_models
 from grainfold.operators import cluster
 
 
@@ -26,6 +26,14 @@ def test_genes_are_not_broadcast(spark, sf_dir, query):
     assert not [b for b in broadcasts(getattr(catalog_models, query)(spark, sf_dir)) if "p_partkey" in b]
 
 
+def test_genes_of_the_tree_are_not_broadcast(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(cluster, "dendrogram", lambda groups, selected: (groups, selected))
+    groups, *parts, _ = catalog_models._tree(spark, sf_dir)
+    for d in (groups, *parts):
+        assert not [b for b in broadcasts(d) if "p_partkey" in b]
+    assert catalog_matrix._no_broadcast(groups).columns == groups.columns
+
+
 def test_chain_over_several_blocks(spark, monkeypatch):
     x = np.repeat([2.0, 3.0, 1.0, 2.0], 6_000)
     d = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "g int, i int, p double")
