@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .grid import Grid
+
 
 def _lgamma(a: np.ndarray) -> np.ndarray:
     """Log gamma of an array. A plain function: functions that use it are pickled by value."""
@@ -131,21 +133,26 @@ def expressed_above(groups: DataFrame, sizes: DataFrame, threshold: float = 1.0)
 def uniform_scaling(matrix: DataFrame, n_cells: int, rounds: int = 40, rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Scalings (cell_id, u) and (gene_id, v) in (0, 1] so that mean(n u v) of a gene nears -ln(1 - share of cells with it).
 
-    Gradient steps on the squared error; a step is two joins of the non-zeros.
+    Gradient steps on the squared error; a step is two sums over packed blocks of the non-zeros (see grid).
     u has mean 1 in the end.
     """
-    from ..plans.storage import persist
+    whole = Grid(matrix)
+    share = F.col("k") / F.lit(float(n_cells))
+    cells = whole.start("cell_id", [F.lit(0.5)])
+    # what is wanted, v, v before, and the logarithm of the ratio
+    genes = whole.start("gene_id", [-F.ln(F.greatest(F.lit(1e-9), 1 - share)), F.lit(0.5), F.lit(0.5), F.lit(0.0)])
+
+    def ratios(got: np.ndarray, old: np.ndarray) -> np.ndarray:
+        want, v = old[:, 0], old[:, 1]
+        ratio = np.clip(want / np.maximum(got[:, 0] * v / n_cells, 1e-9), 0.25, 4.0)
+        return np.stack([want, np.minimum(1.0, v * ratio**rate), v, np.log(ratio)], 1)
+
+    def scaled(got: np.ndarray, old: np.ndarray) -> np.ndarray:
+        return np.minimum(1.0, old * np.exp(rate / 2 * got[:, :1] / got[:, 1:]))
 
-    matrix = matrix.select("cell_id", "gene_id", "n")
-    want = matrix.groupBy("gene_id").agg((-F.ln(F.greatest(F.lit(1e-9), 1 - F.count("*") / F.lit(float(n_cells))))).alias("want"))
-    u = persist(matrix.select("cell_id").distinct().withColumn("u", F.lit(0.5)))
-    v = persist(want.withColumn("v", F.lit(0.5)))
     for _ in range(rounds):
-        x = matrix.join(u, "cell_id").join(v, "gene_id")
-        got = x.groupBy("gene_id").agg((F.sum(F.col("n") * F.col("u") * F.col("v")) / n_cells).alias("got"))
-        e = v.join(got, "gene_id").withColumn("ratio", F.least(F.greatest(F.col("want") / F.greatest("got", F.lit(1e-9)), F.lit(0.25)), F.lit(4.0)))
-        pull = x.join(e.select("gene_id", "ratio"), "gene_id").groupBy("cell_id").agg((F.sum(F.col("n") * F.col("v") * F.ln("ratio")) / F.sum(F.col("n") * F.col("v"))).alias("g"))
-        u = persist(u.join(pull, "cell_id").select("cell_id", F.least(F.lit(1.0), F.col("u") * F.exp(rate / 2 * F.col("g"))).alias("u")))
-        v = persist(e.select("gene_id", "want", F.least(F.lit(1.0), F.col("v") * F.pow("ratio", F.lit(rate))).alias("v")))
+        genes = whole.step("gene_id", cells, genes, (1, 4), lambda i, j, n, a, b: [n * a[i, 0]], ratios)
+        cells = whole.step("cell_id", cells, genes, (1, 4), lambda i, j, n, a, b: [n * b[j, 2] * b[j, 3], n * b[j, 2]], scaled)
+    u, v = whole.rows("cell_id", cells, 1).select("cell_id", F.col("v")[0].alias("u")), whole.rows("gene_id", genes, 4).select("gene_id", F.col("v")[1].alias("v"))
     mean = F.broadcast(u.agg(F.avg("u").alias("m")))
     return u.crossJoin(mean).select("cell_id", (F.col("u") / F.col("m")).alias("u")), v.crossJoin(mean).select("gene_id", (F.col("v") * F.col("m")).alias("v"))
