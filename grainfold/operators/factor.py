@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import persist
+from .grid import Grid
 
 
 def cell_vectors(values: DataFrame, selected: DataFrame, cells: DataFrame, column: str = "value") -> DataFrame:
@@ -96,59 +97,54 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 def poisson_factors(matrix: DataFrame, k: int, *, iterations: int = 100, tolerance: float = 1e-3, a: float = 0.3, b: float = 1.0, c: float = 0.3, d: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Hierarchical Poisson factorisation by coordinate ascent over the non-zeros: (cell_id, theta), (gene_id, beta).
 
-    Each half step joins the non-zeros with the current expectations of both
-    sides and sums the responsibilities by one of them; the other side's total
-    rate is one small row. The matrix is written once; state is a table of 2 k numbers an item. Every tenth
+    Each half step sums the responsibilities of the non-zeros by one side; the
+    other side's total rate is one small row. The non-zeros lie in packed blocks (see grid); state is 2 k numbers an item. Every tenth
     round, from the tenth on, the log likelihood of the non-zeros is taken; it ends
     when that changes by less than the share `tolerance`, or after `iterations`.
     """
-    matrix = persist(matrix.select("cell_id", "gene_id", "n"))
-    means, logs, shares = ([f"{c}{j}" for j in range(k)] for c in ("mean", "log", "r"))
+    whole = Grid(matrix)
+    widths = (2 * k, 2 * k)
 
     def start(key, salt):
-        d = matrix.select(key).distinct()
         noise = [F.abs(F.xxhash64(key, F.lit(salt), F.lit(j)) % 1000) / 1000.0 + 0.5 for j in range(k)]
-        return persist(d.select(key, *[x.alias(c) for x, c in zip(noise, means, strict=True)], *[F.ln(x).alias(c) for x, c in zip(noise, logs, strict=True)]))
+        return whole.start(key, [*noise, *[F.ln(x) for x in noise]])
 
     theta, beta = start("cell_id", seed), start("gene_id", seed + 1)
 
-    def ends(columns):
-        """The non-zeros with these columns of the cell (a0, a1, ...) and of the gene (b0, b1, ...)."""
-        one = theta.select("cell_id", *[F.col(c).alias(f"a{j}") for j, c in enumerate(columns)])
-        two = beta.select("gene_id", *[F.col(c).alias(f"b{j}") for j, c in enumerate(columns)])
-        return matrix.join(one, "cell_id").join(two, "gene_id")
+    def shares(i, j, n, one, two):
+        w = np.exp(one[:, k:])[i] * np.exp(two[:, k:])[j]
+        return (w * (n / (w.sum(1) + 1e-300))[:, None]).T
 
-    def half(side, other, key, shape, rate):
-        total = F.broadcast(other.agg(*[F.sum(c).alias(f"t{j}") for j, c in enumerate(means)]))
-        x = ends(logs).select(key, "n", *[F.exp(F.col(f"a{j}") + F.col(f"b{j}")).alias(f"w{j}") for j in range(k)])
-        x = x.withColumn("per", F.col("n") / sum((F.col(f"w{j}") for j in range(k)), F.lit(1e-300)))
-        got = x.groupBy(key).agg(*[F.sum(F.col("per") * F.col(f"w{j}")).alias(c) for j, c in enumerate(shares)])
-        got = got.join(side.select(key, sum((F.col(c) for c in means), F.lit(0.0)).alias("m")), key).crossJoin(total)
+    def half(key, other, shape, rate):
+        total = whole.total(other, 2 * k)[:k]
 
-        def update(batches):
-            for p in batches:
-                g = shape + p[shares].to_numpy()
-                xi = (shape * k) / (rate + p["m"].to_numpy())
-                r = xi[:, None] + p[[f"t{j}" for j in range(k)]].to_numpy()
-                yield pd.concat([p[[key]], pd.DataFrame(np.hstack([g / r, _digamma(g) - np.log(r)]), columns=means + logs, index=p.index)], axis=1)
+        def update(got, old):
+            g = shape + got
+            r = ((shape * k) / (rate + old[:, :k].sum(1)))[:, None] + total
+            return np.hstack([g / r, _digamma(g) - np.log(r)])
 
-        return persist(got.mapInPandas(update, f"{key} long, " + ", ".join(f"{c} double" for c in means + logs)))
+        return whole.step(key, theta, beta, widths, shares, update)
 
     def likelihood() -> float:
-        rate = sum((F.col(f"a{j}") * F.col(f"b{j}") for j in range(k)), F.lit(1e-300))
-        return ends(means).agg(F.sum(F.col("n") * F.ln(rate) - rate)).first()[0] or 0.0
+        def add(_, rows, one, two):
+            out = 0.0
+            for i, j, n in rows:
+                rate = (one[i, :k] * two[j, :k]).sum(1) + 1e-300
+                out += float((n * np.log(rate) - rate).sum())
+            return pd.DataFrame({"l": [out]})
+
+        return whole.over(theta, beta, widths, add, "l double").agg(F.sum("l")).first()[0] or 0.0
 
     last = None
     for turn in range(iterations):
-        theta = half(theta, beta, "cell_id", a, b)
-        beta = half(beta, theta, "gene_id", c, d)
+        theta = half("cell_id", beta, a, b)
+        beta = half("gene_id", theta, c, d)
         if turn % 10 == 9:
             now = likelihood()
             if last is not None and abs(now - last) <= tolerance * abs(last):
                 break
             last = now
-    whole = F.array(*means)
-    return theta.select("cell_id", whole.alias("theta")), beta.select("gene_id", whole.alias("beta"))
+    return tuple(whole.rows(key, state, 2 * k).select(key, F.slice("v", 1, k).alias(name)) for key, state, name in (("cell_id", theta, "theta"), ("gene_id", beta, "beta")))
 
 
 def harmonise(factors: DataFrame, batches: DataFrame, *, clusters: int = 10, rounds: int = 5, sigma: float = 0.1, penalty: float = 1.0, ridge: float = 1.0, seed: int = 1) -> DataFrame:

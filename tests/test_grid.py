@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainfold.operators import grid, special
+from grainfold.operators import factor, grid, special
 
 
 def matrix(spark, x):
@@ -44,3 +44,18 @@ def test_uniform_scaling_equals_dense_steps(spark, counts, blocks):
         ratio = np.clip(want / np.maximum((x * a[:, None] * b).sum(0) / n, 1e-9), 0.25, 4)
         a, b = np.minimum(1, a * np.exp(0.25 * (x @ (b * np.log(ratio))) / (x @ b))), np.minimum(1, b * ratio**0.5)
     assert [u[k] for k in sorted(u)] == pytest.approx(a / a.mean()) and [v[k] for k in sorted(v)] == pytest.approx(b * a.mean())
+
+
+def test_poisson_factors_do_not_depend_on_blocks(spark, counts, monkeypatch):
+    """Before, each half round joined all non-zeros with both sides; now it joins none."""
+    m, found = matrix(spark, counts), []
+    for size in (2_000_000, 30):
+        monkeypatch.setattr(grid, "BLOCK", size)
+        found.append([{r[0]: r[1] for r in d.collect()} for d in factor.poisson_factors(m, 2, iterations=3)])
+    for one, two in zip(*found, strict=True):
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_no_counts_no_rows(spark):
+    m = spark.createDataFrame([], "cell_id long, gene_id long, n long")
+    assert [d.count() for d in factor.poisson_factors(m, 2, iterations=2)] == [0, 0]
